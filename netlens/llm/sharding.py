@@ -30,7 +30,7 @@ def rendezvous(key: Column, shards: int, weights: list[float] | None = None) ->
     return -F.array_max(F.array(*scores))["no"]
 
 
-def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 40, weights: list[float] | None = None, rows_a_task: int = 100_000) -> DataFrame:
+def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 40, weights: list[float] | None = None, rows_a_task: int = 20_000) -> DataFrame:
     """``df``, written shard by shard and read again, with size, crc32, shard and slot.
 
     A shard is dealt in cells of about ``rows_a_task`` rows, so that no task holds a whole
