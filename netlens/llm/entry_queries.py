@@ -56,5 +56,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secret_scan(docs).select("doc_id", "start", "length", "kind", "votes", "is_secret", F.sha2("value", 256).alias("value_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
