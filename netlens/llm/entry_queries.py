@@ -63,5 +63,25 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(docs).select("doc_id", "start", "length", "kind", "votes", "is_secret", F.sha2("value", 256).alias("value_sha256"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_index import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op5_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_transducer import encode_pieces
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_pieces(docs, vocabulary("piece_bpe_32k.model"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan(docs).select("doc_id", "license", F.round("dice", 6).alias("dice"), "first_line", "n_lines")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
