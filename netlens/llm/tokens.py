@@ -1,8 +1,9 @@
 """Whole texts to token ids with the tokenizers library, inside Arrow batches.
 
 Words repeat far more often than texts, so a text is cut at blanks where the tokenizer
-starts a new pre-token anyway and each distinct piece is encoded once a worker. The ids are
-exactly those of encoding the whole text at once.
+starts a new pre-token anyway and each distinct piece is encoded once a worker. Pieces of Latin
+letters, digits and signs are cut in pre-tokens here and given to the tokenizer's model, all
+others to the whole tokenizer. The ids are exactly those of encoding the whole text at once.
 """
 
 from __future__ import annotations
@@ -13,22 +14,47 @@ import sys
 from array import array
 from collections.abc import Iterator
 
-#: Pieces that a worker remembers at most; when full it starts anew (speed only).
-REMEMBERED = 250_000
+import regex
+
+#: Pieces and pre-tokens that a worker remembers at most; when full it starts anew (speed only).
+REMEMBERED, PRE_TOKENS = 400_000, 800_000
 #: White space by any of the definitions in use; a cut has none of it on either side.
-_BLANK = r"\s\x1c-\x1f\x85᠎​﻿"
+_BLANK = r"\s\x1c-\x1f\x85\u180e\u200b\ufeff"
 _CUT = re.compile(rf"(?<=[^{_BLANK}])(?= [^{_BLANK}])")
 _EDGE = re.compile(rf"[{_BLANK}]")
+_LATIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]+")
+# The pre-token patterns of the two kinds of tokenizers.
+_WITH_BLANKS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_WITHOUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Latin-1 characters to the byte-level alphabet: printed bytes stay, the others follow from 256 on.
+_ALPHABET = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
+class _Known(dict):
+    """A value for each key, made when it is first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
+
+    def bounded(self, most: int) -> None:
+        if len(self) > most:
+            self.clear()
+
+
 class WordEncoder:
     """Texts to little-endian unsigned 32-bit ids.
 
     ``keeps_blanks``: the tokenizer's pre-tokens carry the blank before them (byte-level);
-    else white space is dropped and each blank is a cut. Strings of special tokens in a text
-    are ordinary text.
+    else white space is dropped, case is lowered and each blank is a cut. Strings of special
+    tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str, keeps_blanks: bool):
@@ -37,53 +63,61 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
         self.keeps_blanks = keeps_blanks
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes | None] = {}
-
-    def _raw(self, pieces: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(pieces), 2048):
-            for e in self.tokenizer.encode_batch_fast(pieces[i : i + 2048], add_special_tokens=False):
-                ids = array("I", e.ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                yield ids.tobytes()
-
-    def _learn(self, known: dict, pieces: set[str], before: str) -> None:
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > REMEMBERED and known:
-            known.clear()
-            new = list(pieces)
-        if before:
-            odd = [p for p in new if not p or _EDGE.match(p[0]) or _EDGE.match(p[-1])]
-            known.update(dict.fromkeys(odd))
-            new = [p for p in new if p not in known]
-        known.update(zip(new, self._raw([before + p for p in new]), strict=True))
+        self.pre_tokens = _Known(self._pre_token)
+        self.pieces = _Known(self._piece)
+        #: what follows a blank; None where that blank may be no cut
+        self.later = _Known(self._after_blank) if keeps_blanks else self.pieces
+
+    def _pre_token(self, text: str) -> bytes:
+        return _packed([t.id for t in self.tokenize(text.encode().decode("latin-1").translate(_ALPHABET))])
+
+    def _piece(self, piece: str) -> bytes:
+        if piece and _LATIN.fullmatch(piece):
+            if self.keeps_blanks:
+                return b"".join([self.pre_tokens[x] for x in _WITH_BLANKS.findall(piece)])
+            low = piece.lower()
+            if low.isascii() or _LATIN.fullmatch(low):
+                if low.isalpha():
+                    return self.pre_tokens[piece if low == piece else low]
+                if low[:-1].isalpha() and low[-1] in ",.!?;:":
+                    return self.pre_tokens[low[:-1]] + self.pre_tokens[low[-1]]
+                return b"".join([self.pre_tokens[x] for x in _WITHOUT.findall(low)])
+        return _packed(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids)
+
+    def _after_blank(self, piece: str) -> bytes | None:
+        if _LATIN.fullmatch(piece):
+            if piece.isalpha():
+                return self.pre_tokens[" " + piece]
+            if piece[:-1].isalpha() and piece[-1] in ",.!?;:":
+                return self.pre_tokens[" " + piece[:-1]] + self.pre_tokens[piece[-1]]
+        if not piece or _EDGE.match(piece[0]) or _EDGE.match(piece[-1]):
+            return None
+        return self._piece(" " + piece)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").split(" ") for t in texts]
+        for known, most in ((self.later, REMEMBERED), (self.pieces, REMEMBERED), (self.pre_tokens, PRE_TOKENS)):
+            known.bounded(most)
+        return [self._encoded(t or "") for t in texts]
+
+    def _encoded(self, text: str) -> bytes:
+        head, *rest = text.split(" ")
         if not self.keeps_blanks:
-            self._learn(self.later, set().union(*cut), "")
-            return [b"".join(map(self.later.__getitem__, c)) for c in cut]
-        self._learn(self.later, set().union(*(c[1:] for c in cut)), " ")
-        whole, out = self.later.__getitem__, []
-        for t, c in zip(texts, cut, strict=True):
-            head = c[0]
-            if (not head and len(c) > 1) or (head and _EDGE.match(head[-1])):
-                out.append(self._slowly(t))
-                continue
-            self._learn(self.first, {head}, "") if head not in self.first else None
-            c[0] = ""
+            return self.pieces[head] + b"".join(map(self.later.__getitem__, rest))
+        if (head or not rest) and not (head and _EDGE.match(head[-1])):
             try:
-                out.append(self.first[head] + b"".join(map(whole, c[1:])))
+                return self.pieces[head] + b"".join(map(self.later.__getitem__, rest))
             except TypeError:  # a piece is None: blanks meet other white space here
-                out.append(self._slowly(t))
-        return out
+                pass
+        return b"".join([self.pieces[x] for x in _CUT.split(text)])
+
 
-    def _slowly(self, text: str) -> bytes:
-        pieces = _CUT.split(text)
-        self._learn(self.first, set(pieces), "")
-        return b"".join(map(self.first.__getitem__, pieces))
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def encoder(path: str, keeps_blanks: bool) -> WordEncoder:
