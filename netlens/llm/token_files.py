@@ -104,7 +104,10 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, end_id: int, ke
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, shard = encoder(vocabulary, keeps_blanks), TaskContext.get().partitionId()
-        packer = zstandard.ZstdCompressor(level=level, dict_data=_zdict(raw), write_content_size=True)
+        shared = _zdict(raw)
+        if shared:
+            shared.precompute_compress(level=level)  # else each frame digests it anew
+        packer = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=True)
         own, no, base = dictionary_hash(raw), 0, 0
         keys: list = []
         counts: list[int] = []
