@@ -11,6 +11,7 @@ import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Limits of what a summary keeps.
 ANSWERS, HEADERS, NAME, METHOD, URI, HOST, AGENT, SNI, CIPHERS, EXTENSIONS = 10, 16, 255, 16, 512, 255, 128, 255, 64, 32
@@ -175,10 +176,14 @@ def _server_name(body: bytes) -> str | None:
     return None
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType()), "array<int>": T.ArrayType(T.IntegerType())}
+
+
 def _parser(row, schema: str):
-    names = [x.split(" ")[0] for x in schema.split(", ")]
+    fields = [x.split(" ") for x in schema.split(", ")]
+    names = [n for n, _ in fields]
 
-    @F.pandas_udf(f"found boolean, {schema}")
+    @F.pandas_udf(T.StructType([T.StructField("found", T.BooleanType()), *(T.StructField(n, _TYPES[t]) for n, t in fields)]))
     def parsed(payloads: pd.Series) -> pd.DataFrame:
         rows = [row(bytes(p)) if p is not None else None for p in payloads]
         out = pd.DataFrame([r or (None,) * len(names) for r in rows], columns=names, dtype=object)

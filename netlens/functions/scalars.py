@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UNITS = {"s": 1, "m": 60, "h": 3600}
 _MOST = 2**63 - 1
@@ -76,13 +77,13 @@ def push_priority(severity: Column) -> Column:
     return F.when(severity == "low", 1).when(severity == "medium", 3).when(severity == "high", 4)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def one_decimal(x: pd.Series) -> pd.Series:
     """One decimal, halves to even on the exact value; JVM formatting rounds halves up."""
     return x.map(lambda v: None if pd.isna(v) else f"{v:.1f}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ipv6_text(raw: pd.Series) -> pd.Series:
     """The compressed text of 16 address bytes."""
     import ipaddress

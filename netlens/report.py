@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions.scalars import endpoint
 
@@ -11,7 +12,7 @@ FLOWS = "ts            proto state  reason  src -> dst
 ALERTS = "ts            severity  name            src -> dst            message"
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def plain_number(x: float) -> str | None:
     """A double without exponent: 1770000000.5, 1770000001."""
     return None if x is None else str(int(x)) if float(x).is_integer() else repr(float(x))

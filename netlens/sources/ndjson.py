@@ -65,7 +65,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Files are read whole so that lines keep their numbers: the writer rotates them at some MB.
     """
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*.ndjson").option("recursiveFileLookup", False).text(path)
+    whole = spark.read.text(path, wholetext=True, pathGlobFilter="*.ndjson")
     lines = whole.select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
     return lines.where(F.trim(F.regexp_replace("value", r"\s", " ")) != "").select("path", (F.col("at") + 1).alias("line_no"), "value")
 
@@ -105,5 +105,5 @@ def read_watchlist(spark: SparkSession, path: str) -> list[str]:
 
     The rules take the list as a parameter; it is written by hand and small.
     """
-    text = spark.read.option("wholetext", True).text(path).first()
+    text = spark.read.text(path, wholetext=True).first()
     return [s for line in (text.value.split("\n") if text else []) if (s := line.strip()) and not s.startswith("#")]
