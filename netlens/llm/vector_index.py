@@ -139,17 +139,16 @@ def nearest_neighbours(df: DataFrame, key: str = "vec_id", vector: str = "embedd
 
     def gathered(t: pa.Table) -> pa.Table:
         """One row a block: ids, vectors and codes as bytes."""
-        no, lane = t.column("no")[0].as_py(), t.column("lane")[0].as_py()
         values = np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(-1, dim)
         ids = t.column("id").to_numpy()
         order = np.lexsort((*values.T[::-1], ids))
         order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
         ids, values = ids[order], np.ascontiguousarray(values[order])
-        return pa.table({"no": [no], "lane": [lane], "ids": [ids.tobytes()], "x": [values.tobytes()], "codes": [codes_of(values, mean, projection).tobytes()]})
+        return pa.table({"no": [t.column("no")[0].as_py()], "ids": [ids.tobytes()], "x": [values.tobytes()], "codes": [codes_of(values, mean, projection).tobytes()]})
 
     def blocks(part: DataFrame, count: int) -> DataFrame:
-        dealt = part.select(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(count)).alias("no"), F.lit(0).alias("lane"), "id", "v")
-        return dealt.groupBy("no", "lane").applyInArrow(gathered, "no long, lane int, ids binary, x binary, codes binary")
+        dealt = part.select(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(count)).alias("no"), "id", "v")
+        return dealt.groupBy("no").applyInArrow(gathered, "no long, ids binary, x binary, codes binary")
 
     def unpacked(ids: bytes, x: bytes, codes: bytes) -> tuple:
         return np.frombuffer(ids, np.int64), np.frombuffer(x, np.float64).reshape(-1, dim), np.frombuffer(codes, np.uint64).reshape(-1, words)
@@ -170,8 +169,8 @@ def nearest_neighbours(df: DataFrame, key: str = "vec_id", vector: str = "embedd
     n_index = max(1, -(-n // block_rows))
     index = written(blocks(rows, n_index), "index")
     queries = written(blocks(asked, max(1, -(-n // (query_every * query_rows)))), "queries")
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))).cast("long").alias("no"), F.col("no").alias("q_no"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "x", "codes")])
-    met = q.join(index.drop("lane"), "no").repartition(F.col("no"), F.col("q_no"))
+    q = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_index - 1).cast("long"))).alias("no"), F.col("no").alias("q_no"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "x", "codes")])
+    met = q.join(index, "no").repartition(F.col("no"), F.col("q_no"))
     found = met.select("ids", "x", "codes", "q_ids", "q_x", "q_codes").mapInArrow(searched, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
