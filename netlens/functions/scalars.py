@@ -13,6 +13,11 @@ _UNITS = {"s": 1, "m": 60, "h": 3600}
 _MOST = 2**63 - 1
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def severity_rank(severity: Column) -> Column:
     """low 1, medium 2, high 3."""
     return F.when(severity == "low", 1).when(severity == "medium", 2).when(severity == "high", 3)

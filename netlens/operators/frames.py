@@ -9,95 +9,95 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import byte_at, bytes_at, ipv4_text, ipv6_text, mac_text, proto_name, u16_at, unix_seconds
+from ..functions.scalars import byte_at, bytes_at, ipv4_text, ipv6_text, let, mac_text, proto_name, u16_at
 
 IPV4, IPV6, ARP = 0x0800, 0x86DD, 0x0806
 TAGS = (0x8100, 0x88A8)
 
 
-def link_layer(frames: DataFrame) -> DataFrame:
-    """``outer`` and ``ethertype`` (after up to two tags), ``vlan`` (the first) and ``l3_at``."""
-    data = F.col("data")
-    outer = F.when(F.length(data) >= 14, u16_at(data, 12))
-    rows = frames.withColumn("outer", outer)
-    one = F.coalesce(F.col("outer").isin(*TAGS), F.lit(False))
-    rows = rows.withColumn("inner1", F.when(one, u16_at(data, 16))).withColumn("vlan", F.when(one & (F.length(data) >= 18), u16_at(data, 14).bitwiseAND(0x0FFF)))
-    two = F.coalesce(F.col("inner1").isin(*TAGS), F.lit(False))
-    rows = rows.withColumn("inner2", F.when(two, u16_at(data, 20)))
-    rows = rows.withColumn("ethertype", F.when(two, F.col("inner2")).when(one, F.col("inner1")).otherwise(F.col("outer")))
-    return rows.withColumn("l3_at", F.when(two, 22).when(one, 18).otherwise(14)).drop("inner1", "inner2")
-
-
-def network_layer(rows: DataFrame) -> DataFrame:
-    """``version``, ``proto_no``, raw addresses, ``l4_at`` and ``l4_end``; null where IP is damaged."""
-    data, at, size = F.col("data"), F.col("l3_at"), F.length("data")
-    first = byte_at(data, at)
-    ihl = first.bitwiseAND(0x0F) * 4
-    total = u16_at(data, at + 2)
-    is4 = (F.col("ethertype") == IPV4) & (size - at >= 20) & (F.shiftright(first, 4) == 4) & (ihl >= 20) & (ihl <= size - at)
-    is6 = (F.col("ethertype") == IPV6) & (size - at >= 40) & (F.shiftright(first, 4) == 6)
-    rows = rows.withColumn("version", F.when(is4, 4).when(is6, 6))
-    v4, v6 = F.col("version") == 4, F.col("version") == 6
-    return (
-        rows.withColumn("proto_no", F.when(v4, byte_at(data, at + 9)).when(v6, byte_at(data, at + 6)))
-        .withColumn("src_raw", F.when(v4, bytes_at(data, at + 12, 4)).when(v6, bytes_at(data, at + 8, 16)))
-        .withColumn("dst_raw", F.when(v4, bytes_at(data, at + 16, 4)).when(v6, bytes_at(data, at + 24, 16)))
-        .withColumn("l4_at", F.when(v4, at + ihl).when(v6, at + 40))
-        .withColumn("l4_end", F.when(v4, F.least(at + total, size)).when(v6, F.least(at + 40 + u16_at(data, at + 4), size)))
-    )
-
-
-def transport_layer(rows: DataFrame) -> DataFrame:
-    """Ports and TCP flags where the header is whole, and the ``payload`` behind it."""
-    data, at, end = F.col("data"), F.col("l4_at"), F.col("l4_end")
-    room = end - at
-    tcp = (F.col("proto_no") == 6) & (room >= 20)
-    udp = (F.col("proto_no") == 17) & (room >= 8)
-    offset = F.shiftright(byte_at(data, at + 12), 4) * 4
-    head = F.when(tcp & (offset >= 20), offset).when(udp, 8)
-    return (
-        rows.withColumn("src_port", F.when(tcp | udp, u16_at(data, at)))
-        .withColumn("dst_port", F.when(tcp | udp, u16_at(data, at + 2)))
-        .withColumn("tcp_flags", F.when(tcp, byte_at(data, at + 13)))
-        .withColumn("payload", F.when(head <= room, F.substring(data, at + head + 1, room - head)))
-    )
-
-
-def arp_layer(rows: DataFrame) -> DataFrame:
-    """``arp``: op, addresses and whether it is gratuitous; untagged whole Ethernet/IPv4 ARP only."""
-    data = F.col("data")
-    op = u16_at(data, 20)
-    good = (F.col("outer") == ARP) & (F.length(data) >= 42) & (u16_at(data, 14) == 1) & (u16_at(data, 16) == 0x0800) & (byte_at(data, 18) == 6) & (byte_at(data, 19) == 4) & op.isin(1, 2)
-    body = F.struct(
-        F.when(op == 1, "request").otherwise("reply").alias("op"),
-        mac_text(F.substring(data, 23, 6)).alias("sender_mac"),
-        ipv4_text(F.substring(data, 29, 4)).alias("src"),
-        mac_text(F.substring(data, 33, 6)).alias("target_mac"),
-        ipv4_text(F.substring(data, 39, 4)).alias("target_ip"),
-        (F.substring(data, 29, 4) == F.substring(data, 39, 4)).alias("is_gratuitous"),
-    )
-    return rows.withColumn("arp", F.when(good, body))
+def _link(data: Column) -> Column:
+    """outer and final ethertype (after up to two tags), vlan (the first), and where layer 3 starts."""
+    raw = F.struct(F.length(data).alias("size"), F.when(F.length(data) >= 14, u16_at(data, 12)).alias("t0"), u16_at(data, 14).alias("tag"), u16_at(data, 16).alias("t1"), u16_at(data, 20).alias("t2"))
+
+    def told(x: Column) -> Column:
+        one = F.coalesce(x["t0"].isin(*TAGS), F.lit(False))
+        two = one & F.coalesce(x["t1"].isin(*TAGS), F.lit(False))
+        return F.struct(
+            x["size"].alias("size"), x["t0"].alias("outer"), F.when(two, x["t2"]).when(one, x["t1"]).otherwise(x["t0"]).alias("ethertype"),
+            F.when(one & (x["size"] >= 18), x["tag"].bitwiseAND(0x0FFF)).alias("vlan"), F.when(two, 22).when(one, 18).otherwise(14).alias("at"),
+        )
+
+    return let(raw, told)
+
+
+def _network(data: Column, link: Column) -> Column:
+    """version, protocol, raw addresses and the bounds of layer 4; all null where IP is damaged."""
+    at, size = link["at"], link["size"]
+    raw = F.struct(byte_at(data, at).alias("first"), u16_at(data, at + 2).alias("total"), u16_at(data, at + 4).alias("behind"))
+
+    def told(x: Column) -> Column:
+        ihl = x["first"].bitwiseAND(0x0F) * 4
+        v4 = (link["ethertype"] == IPV4) & (size - at >= 20) & (F.shiftright(x["first"], 4) == 4) & (ihl >= 20) & (ihl <= size - at)
+        v6 = (link["ethertype"] == IPV6) & (size - at >= 40) & (F.shiftright(x["first"], 4) == 6)
+        return F.when(v4, F.struct(
+            F.lit(4).alias("version"), byte_at(data, at + 9).alias("proto_no"), bytes_at(data, at + 12, 4).alias("src_raw"), bytes_at(data, at + 16, 4).alias("dst_raw"),
+            (at + ihl).alias("at"), F.least(at + x["total"], size).alias("end"),
+        )).when(v6, F.struct(
+            F.lit(6).alias("version"), byte_at(data, at + 6).alias("proto_no"), bytes_at(data, at + 8, 16).alias("src_raw"), bytes_at(data, at + 24, 16).alias("dst_raw"),
+            (at + 40).alias("at"), F.least(at + 40 + x["behind"], size).alias("end"),
+        ))
+
+    return let(raw, told)
+
+
+def _transport(data: Column, net: Column) -> Column:
+    """Ports and TCP flags where the header is whole, and the payload behind it."""
+    raw = F.struct((net["end"] - net["at"]).alias("room"), (F.shiftright(byte_at(data, net["at"] + 12), 4) * 4).alias("offset"))
 
+    def told(x: Column) -> Column:
+        tcp, udp = (net["proto_no"] == 6) & (x["room"] >= 20), (net["proto_no"] == 17) & (x["room"] >= 8)
+        head = F.when(tcp & (x["offset"] >= 20), x["offset"]).when(udp, 8)
+        return F.struct(
+            F.when(tcp | udp, u16_at(data, net["at"])).alias("src_port"), F.when(tcp | udp, u16_at(data, net["at"] + 2)).alias("dst_port"), F.when(tcp, byte_at(data, net["at"] + 13)).alias("tcp_flags"),
+            F.when(head <= x["room"], F.substring(data, net["at"] + head + 1, x["room"] - head)).alias("payload"),
+        )
 
-def _ip(raw: str) -> Column:
-    return F.when(F.length(raw) == 4, ipv4_text(F.col(raw)))
+    return let(raw, told)
+
+
+def _arp(data: Column, link: Column) -> Column:
+    """op, addresses and whether it is gratuitous; untagged whole Ethernet/IPv4 ARP only."""
+    op = u16_at(data, 20)
+    good = (link["outer"] == ARP) & (link["size"] >= 42) & (u16_at(data, 14) == 1) & (u16_at(data, 16) == 0x0800) & (byte_at(data, 18) == 6) & (byte_at(data, 19) == 4) & op.isin(1, 2)
+    return F.when(good, F.struct(
+        F.when(op == 1, "request").otherwise("reply").alias("op"), mac_text(F.substring(data, 23, 6)).alias("sender_mac"), ipv4_text(F.substring(data, 29, 4)).alias("src"),
+        mac_text(F.substring(data, 33, 6)).alias("target_mac"), ipv4_text(F.substring(data, 39, 4)).alias("target_ip"), (F.substring(data, 29, 4) == F.substring(data, 39, 4)).alias("is_gratuitous"),
+    ))
 
 
 def layers(frames: DataFrame) -> DataFrame:
     """All layers of all frames, with IP texts, protocol names and the flow key.
 
     ``a`` is the lesser endpoint by version, address bytes and port (none first), ``forward``
-    whether the frame goes from a to b.
+    whether the frame goes from a to b. Each frame is taken apart once: the layers are one
+    generated row, through which no filter moves.
     """
-    rows = arp_layer(transport_layer(network_layer(link_layer(frames))))
-    rows = rows.withColumn("src", F.coalesce(_ip("src_raw"), ipv6_text(F.when(F.length("src_raw") == 16, F.col("src_raw"))))).withColumn(
-        "dst", F.coalesce(_ip("dst_raw"), ipv6_text(F.when(F.length("dst_raw") == 16, F.col("dst_raw"))))
-    )
-    end = lambda side: F.struct(F.col("version").alias("v"), F.col(f"{side}_raw").alias("raw"), F.coalesce(f"{side}_port", F.lit(-1)).alias("port"), F.col(side).alias("ip"))
-    rows = rows.withColumn("proto", F.when(F.col("version").isNotNull(), proto_name(F.col("proto_no")))).withColumn("x", end("src")).withColumn("y", end("dst"))
-    forward = F.struct("x.v", "x.raw", "x.port") <= F.struct("y.v", "y.raw", "y.port")
+    data = F.col("data")
+
+    def all_(link: Column) -> Column:
+        return let(_network(data, link), lambda net: let(_transport(data, net), lambda tp: F.struct(
+            link["outer"].alias("outer"), link["ethertype"].alias("ethertype"), link["vlan"].alias("vlan"), net["version"].alias("version"), net["proto_no"].alias("proto_no"),
+            net["src_raw"].alias("src_raw"), net["dst_raw"].alias("dst_raw"), *[tp[c].alias(c) for c in ("src_port", "dst_port", "tcp_flags", "payload")], _arp(data, link).alias("arp"),
+        )))
+
+    rows = frames.select("*", F.inline(F.transform(F.array(_link(data)), all_)))
+    ip = lambda side: F.coalesce(F.when(F.length(side) == 4, ipv4_text(F.col(side))), ipv6_text(F.when(F.length(side) == 16, F.col(side))))
+    rows = rows.select("*", ip("src_raw").alias("src"), ip("dst_raw").alias("dst"))
     has = F.col("version").isNotNull()
-    return rows.withColumn("forward", F.when(has, forward)).withColumn("a", F.when(has, F.when(forward, F.col("x")).otherwise(F.col("y")))).withColumn("b", F.when(has, F.when(forward, F.col("y")).otherwise(F.col("x")))).drop("x", "y")
+    end = lambda side: F.struct(F.col("version").alias("v"), F.col(f"{side}_raw").alias("raw"), F.coalesce(f"{side}_port", F.lit(-1)).alias("port"), F.col(side).alias("ip"))
+    low = lambda side: F.struct("version", f"{side}_raw", F.coalesce(f"{side}_port", F.lit(-1)))
+    rows = rows.select("*", F.when(has, proto_name(F.col("proto_no"))).alias("proto"), F.when(has, low("src") <= low("dst")).alias("forward"))
+    return rows.select("*", F.when(has, F.when(F.col("forward"), end("src")).otherwise(end("dst"))).alias("a"), F.when(has, F.when(F.col("forward"), end("dst")).otherwise(end("src"))).alias("b"))
 
 
 def link_counters(frames: DataFrame) -> DataFrame:
@@ -108,7 +108,3 @@ def link_counters(frames: DataFrame) -> DataFrame:
         F.count("*").alias("frames"), F.coalesce(F.sum(F.length("data")), F.lit(0)).alias("bytes"),
         F.count_if(kind == IPV4).alias("ipv4"), F.count_if(kind == IPV6).alias("ipv6"), F.count_if(kind == ARP).alias("arp"), F.count_if(other).alias("other"),
     )
-
-
-def frame_seconds(rows: DataFrame) -> Column:
-    return unix_seconds(F.col("ts"))
