@@ -9,8 +9,8 @@ constraint one path per input is finite, and it is the model's own encoding; a p
 piece scores would give other ids than the model. Runs of blanks, whose pieces all have one
 score, are arcs of their own.
 
-Texts are cut at blanks, over which no piece reaches, and a worker remembers the words that it
-has encoded (speed only).
+Texts are cut where no piece reaches over: at blanks, and between two characters that no piece
+has side by side. A worker remembers the parts that it has encoded (speed only).
 
 Defined results: null and empty texts have no ids; any text encodes, unknown characters as
 bytes; decoding gives the text again with ▁ as a blank.
@@ -22,15 +22,17 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fewer
-from .tokens import slices
+from .tokens import Remembered, slices
 
 BLANK = "▁"
-REMEMBERED = 250_000
+#: Words, parts of words and pairs of pieces that a worker remembers at most.
+WORDS, PARTS, PAIRS = 400_000, 500_000, 1_000_000
 OUTPUTS = ("n_pieces", "n_byte_pieces", "ids_crc32", "round_trip")
 
 
@@ -56,7 +58,6 @@ class PieceTransducer:
         self.score = {self.text[i]: model.get_score(i) for i in plain}
         self.id = {p: i for i, p in self.text.items()}
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.of_byte = {i: b for b, i in enumerate(self.byte)}
         if any(BLANK in p.lstrip(BLANK) or (p.startswith(BLANK * 2) and p.strip(BLANK)) for p in self.id):
             raise ValueError("a piece reaches over a blank: words cannot be encoded alone")
         self.trie: dict = {}
@@ -64,55 +65,107 @@ class PieceTransducer:
             node = self.trie
             for c in p:
                 node = node.setdefault(c, {})
-            node[""] = (p, i)
-        self.words: dict[str, tuple[bool, bytes]] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
+            node[""] = {}
+        #: neighbours inside pieces; all other pairs of characters are cuts
+        self.inner = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+        #: the order in which merges happen; single characters come first
+        multi = sorted((p for p in self.id if len(p) > 1), key=lambda p: -self.score[p])
+        self.rank = {p: 0 for p in self.id if len(p) == 1} | {p: r for r, p in enumerate(multi, 1)}
+        self.halves: dict[str, tuple[str, str]] = {}
+        self.raw = [b""] * n
+        for i, p in self.text.items():
+            self.raw[i] = p.replace(BLANK, " ").encode()
+        for b, i in enumerate(self.byte):
+            self.raw[i] = bytes((b,))
+        self.is_byte = np.zeros(n, bool)
+        self.is_byte[self.byte] = True
+        self.words = Remembered(self._word, WORDS)
+        self.parts = Remembered(self._part, PARTS)
+        self.weights = Remembered(self._weight, PAIRS)
         self.runs: dict[int, bytes] = {}
 
-    def _weight(self, last: str | None, piece: str) -> float:
-        """1, or infinity where the model would not keep the two pieces apart."""
-        if last is None:
-            return 1.0
-        pair = (last, piece)
-        if pair not in self.apart:
-            if len(self.apart) > 2 * REMEMBERED:
-                self.apart.clear()
-            self.apart[pair] = merged(last + piece, self.score) == [last, piece]
-        return 1.0 if self.apart[pair] else float("inf")
-
-    def best_path(self, text: str) -> list[tuple[str, list[int]]]:
-        """(piece, ids) along the shortest path of the composed transducer."""
-        cost, back = [0.0] + [float("inf")] * len(text), [None] * (len(text) + 1)
-        for at in range(len(text)):
-            if cost[at] == float("inf"):
-                continue
-            last = back[at][1] if back[at] and back[at][1] in self.id else None
-            node = self.trie
-            for end in range(at, len(text)):
-                node = node.get(text[end])
-                if node is None:
+    def _halves(self, piece: str) -> tuple[str, str]:
+        """The two pieces whose merge makes a piece when it is encoded alone."""
+        if piece not in self.halves:
+            parts = list(piece)
+            while len(parts) > 2:
+                at = min((i for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in self.rank), key=lambda i: (self.rank[parts[i] + parts[i + 1]], i))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.halves[piece] = (parts[0], parts[1])
+        return self.halves[piece]
+
+    def _weight(self, pair: tuple[str, str]) -> float:
+        """1, or infinity where the model would not keep the two pieces side by side.
+
+        The merges that made the two are undone from the last to the first. If what then lies
+        at the seam makes a piece that comes before the merge just undone, the model would have
+        taken that piece instead.
+        """
+        left, right, rank = *pair, self.rank
+        bound = len(rank) + 1
+        while True:
+            if rank.get(left + right, bound) < bound:
+                return float("inf")
+            if len(left) == 1 and len(right) == 1:
+                return 1.0
+            if len(right) == 1 or (len(left) > 1 and rank[left] > rank[right]):
+                bound, left = rank[left], self._halves(left)[1]
+            else:
+                bound, right = rank[right] + 1, self._halves(right)[0]
+
+    def _arcs(self, text: str, at: int) -> list[str]:
+        """What the composed transducer can read next, the longest last."""
+        if text[at] not in self.id:
+            return [text[at]]  # byte fallback
+        node, out = self.trie, []
+        for end in range(at, len(text)):
+            node = node.get(text[end])
+            if node is None:
+                break
+            if "" in node:
+                out.append(text[at : end + 1])
+        return out
+
+    def best_path(self, text: str) -> list[str]:
+        """The pieces along the shortest path of the composed transducer.
+
+        All finite paths to a place are one and the same (the model's encoding up to there), so
+        the search goes along finite arcs, longest first, and steps back from places that no
+        finite arc leaves.
+        """
+        path, options, at, size = [], [self._arcs(text, 0)], 0, len(text)
+        dead = bytearray(size + 1)
+        weights, known = self.weights, self.id
+        while at < size:
+            arcs, last = options[-1], path[-1] if path else None
+            while arcs:
+                piece = arcs.pop()
+                if not dead[at + len(piece)] and (last is None or last not in known or piece not in known or weights[last, piece] == 1.0):
+                    path.append(piece)
+                    at += len(piece)
+                    options.append(self._arcs(text, at) if at < size else [])
                     break
-                if "" in node:
-                    new = cost[at] + self._weight(last, node[""][0])
-                    if new < cost[end + 1]:
-                        cost[end + 1], back[end + 1] = new, (at, node[""][0], [node[""][1]])
-            if text[at] not in self.id and cost[at] + 1 < cost[at + 1]:  # byte fallback
-                cost[at + 1], back[at + 1] = cost[at] + 1, (at, text[at], [self.byte[b] for b in text[at].encode("utf-8", "surrogatepass")])
-        out, at = [], len(text)
-        while at:
-            at, piece, ids = back[at]
-            out.append((piece, ids))
-        return out[::-1]
+            else:
+                dead[at] = 1
+                options.pop()
+                at -= len(path.pop())
+        return path
+
+    def _part(self, part: str) -> tuple[bool, bytes]:
+        path, ids = self.best_path(part), array("I")
+        for piece in path:
+            i = self.id.get(piece)
+            ids.extend([i] if i is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")])
+        return path[0] == BLANK, ids.tobytes()
 
     def _word(self, word: str) -> tuple[bool, bytes]:
         """Whether the word's blank is a piece alone, and its ids."""
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            path = self.best_path(BLANK + word)
-            got = self.words[word] = (path[0][0] == BLANK, array("I", [i for _, ids in path for i in ids]).tobytes())
-        return got
+        text, inner = BLANK + word, self.inner
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inner]
+        if not cuts:
+            return self._part(text) if len(text) > 24 else self.parts[text]
+        parts = [self.parts[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        return parts[0][0], b"".join([ids for _, ids in parts])
 
     def _run(self, n: int) -> bytes:
         """The ids of n blanks."""
@@ -124,15 +177,17 @@ class PieceTransducer:
         """The ids as unsigned 32-bit integers."""
         if not text:
             return b""
+        for known in (self.words, self.parts, self.weights):
+            known.bounded()
         words = text.replace(BLANK, " ").split(" ")
         if "" not in words:
-            return b"".join([self._word(w)[1] for w in words])
+            return b"".join([ids for _, ids in map(self.words.__getitem__, words)])
         out, blanks = [], 0
         for word in words:
             if not word:
                 blanks += 1
                 continue
-            alone, ids = self._word(word)
+            alone, ids = self.words[word]
             if blanks:
                 out.append(self._run(blanks + alone))
                 ids = ids[4 * alone :]
@@ -141,12 +196,7 @@ class PieceTransducer:
         return b"".join(out + [self._run(blanks)] * (blanks > 0))
 
     def decode(self, ids: bytes) -> str:
-        out: list[bytes] = []
-        text, of_byte = self.text, self.of_byte
-        for i in memoryview(ids).cast("I"):
-            b = of_byte.get(i)
-            out.append(text[i].encode() if b is None else bytes((b,)))
-        whole = b"".join(out).decode("utf-8", "replace").replace(BLANK, " ")
+        whole = b"".join(map(self.raw.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
         return whole[1:] if whole.startswith(" ") else whole
 
 
@@ -171,8 +221,8 @@ def encode_pieces(df: DataFrame, model: str, text: str = "text", with_ids: bool
                 rows: list[list] = [[] for _ in range(5)]
                 for t in part.column(part.num_columns - 1).to_pylist():
                     raw = code.encode(t)
-                    ids = memoryview(raw).cast("I")
-                    lone = sum(i in code.of_byte for i in ids)
+                    ids = np.frombuffer(raw, np.uint32)
+                    lone = int(code.is_byte[ids].sum())
                     for to, x in zip(rows, (len(ids), lone, zlib.crc32(raw), code.decode(raw) == (t or "").replace(BLANK, " "), ids.tolist() if with_ids else None), strict=True):
                         to.append(x)
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))

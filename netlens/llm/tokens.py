@@ -33,19 +33,20 @@ _ALPHABET = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumera
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-class _Known(dict):
+class Remembered(dict):
     """A value for each key, made when it is first asked for."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
         self[key] = value = self.make(key)
         return value
 
-    def bounded(self, most: int) -> None:
-        if len(self) > most:
+    def bounded(self) -> None:
+        """Starts anew when full (between texts)."""
+        if len(self) > self.most:
             self.clear()
 
 
@@ -65,10 +66,10 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
         self.keeps_blanks = keeps_blanks
-        self.pre_tokens = _Known(self._pre_token)
-        self.pieces = _Known(self._piece)
+        self.pre_tokens = Remembered(self._pre_token, PRE_TOKENS)
+        self.pieces = Remembered(self._piece, REMEMBERED)
         #: what follows a blank; None where that blank may be no cut
-        self.later = _Known(self._after_blank) if keeps_blanks else self.pieces
+        self.later = Remembered(self._after_blank, REMEMBERED) if keeps_blanks else self.pieces
 
     def _pre_token(self, text: str) -> bytes:
         return _packed([t.id for t in self.tokenize(text.encode().decode("latin-1").translate(_ALPHABET))])
@@ -97,8 +98,8 @@ class WordEncoder:
         return self._piece(" " + piece)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        for known, most in ((self.later, REMEMBERED), (self.pieces, REMEMBERED), (self.pre_tokens, PRE_TOKENS)):
-            known.bounded(most)
+        for known in (self.later, self.pieces, self.pre_tokens):
+            known.bounded()
         return [self._encoded(t or "") for t in texts]
 
     def _encoded(self, text: str) -> bytes:
