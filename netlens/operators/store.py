@@ -74,10 +74,10 @@ def count_events(events: DataFrame) -> DataFrame:
 
 
 def appended(*parts: DataFrame) -> DataFrame:
-    """Streams of events one after the other; ``seq`` goes on."""
+    """Streams of events one after the other; each part's ``seq`` lies after those before it."""
     out = None
     for i, part in enumerate(parts):
-        own = part.withColumn("seq", F.struct(F.lit(i), "seq")) if len(parts) > 1 else part
+        own = part.withColumn("seq", F.col("seq") + F.lit(i << 48))
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
     return out
 
