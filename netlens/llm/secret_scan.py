@@ -139,7 +139,9 @@ def secret_scan(df: DataFrame, key: str = "doc_id", text: str = "text", path: st
     """One row a candidate: key, start, length, kind, votes, value and whether it is a secret."""
     forest = forest or trained_forest(df.sparkSession)
     at = F.col(f"`{path}`") if path else F.lit("")
-    rows = df.select(F.col(f"`{key}`").alias(key), found(F.col(f"`{text}`"), at, forest).alias("__f")).where("__f is not null")
+    # one generated row, through which the filter does not move: a text is scanned once
+    scanned = F.inline(F.array(F.struct(found(F.col(f"`{text}`"), at, forest).alias("__f"))))
+    rows = df.select(F.col(f"`{key}`").alias(key), scanned).where("__f is not null")
     out = rows.select(key, F.inline("__f.found"))
     return out.select(key, "start", "length", "kind", "votes", "value", (F.col("votes") >= least_votes).alias("is_secret"))
 
