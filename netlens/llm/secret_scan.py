@@ -7,6 +7,8 @@ All work on texts is one projection of built-in functions: no user function, no
 
 Defined results: null and empty texts have no findings; each occurrence is a finding, also of
 a repeated value; a null path is an empty one; input columns named like an output give way.
+A value after a key word wins over a random one. A quoted value ends at its closing quote on the
+line (a backslash hides the next character); without one it is read like an unquoted value.
 """
 
 from __future__ import annotations
@@ -20,11 +22,17 @@ from pyspark.sql import functions as F
 from .common import fewer, let
 from .findings import labelled_findings
 
-_KEY = r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
-_KEYED = _KEY + r"[^\s\"'<>,;]{6,}+"
 _PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+?-----END [A-Z ]{0,20}PRIVATE KEY-----"
+# A key name starts where a random value could, so that at each such place the keyed match is tried first.
+_NAME = r"(?:(?<![A-Za-z0-9_+/-])|\G)[A-Za-z0-9_+/-]*?"
+_KEY = _NAME + r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]*+[:=][ \t]*+"
+_QUOTED = r"\"(?:[^\"\\\r\n]|\\.){6,}+(?=\")|'(?:[^'\\\r\n]|\\.){6,}+(?=')"
+_KEYED = _KEY + rf"(?:[\"']?{_PEM}|{_QUOTED}|[\"']?[^\s\"'<>,;]{{6,}}+)"
+_HEAD = "^" + _KEY + r"[\"']?(?=[\s\S]{6})"
 _RANDOM = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+={0,2}"
 CANDIDATE = f"{_PEM}|{_KEYED}|{_RANDOM}"
+# Characters of text before a candidate that are looked at, and candidates that can lie in them (of 10 characters at least).
+NEAR, NEAR_FOUND = 60, 6
 
 # Words that make a candidate an ordinary identifier.
 DICTIONARY = """
@@ -42,7 +50,7 @@ FEATURES = ["length", "changes", "digits", "uppers", "hex", "covered", "distinct
 def features(value: Column, before: Column, after: Column, path: Column) -> list[Column]:
     """The measures of FEATURES as doubles; ``before`` and ``after`` are the neighbouring text."""
     n = F.greatest(F.length(value), F.lit(1))
-    near = F.lower(F.right(before, F.lit(40)))
+    near = F.lower(F.right(F.regexp_replace(before, "[ \t]+", " "), F.lit(40)))
     share = lambda kept: (F.length(F.regexp_replace(value, kept, "")) / n)
     flag = lambda c: F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
     runs = F.length(F.regexp_replace(F.translate(value, *_CLASSES), r"(.)\1*", "x"))
@@ -56,7 +64,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> list
         F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64)),
         flag(near.rlike("token|secret|passw|passphrase|pwd|api.?key|access.?key|auth|credential|bearer|private")),
         flag(near.rlike("commit|sha|md5|checksum|digest|revision|hash|etag|build|integrity|fingerprint|changeset|uuid|order|invoice|phone|isbn|serial")),
-        flag(before.rlike("[:=][ \t]{0,3}[\"']?$")),
+        flag(before.rlike("[:=][ \t]*[\"']?$")),
         flag(before.rlike("/$|://[^ ]*$") | (F.length(value) - F.length(F.replace(value, F.lit("/"), F.lit(""))) >= 2)),
         flag(F.lower(path).rlike("test|example|sample|fixture|docs|mock")),
         flag(value.rlike("^(AKIA|ASIA|ghp_|gho_|sk-|xox[a-z]-|AIza|eyJ|glpat-|-----BEGIN)")),
@@ -108,11 +116,16 @@ def found(text: Column, path: Column, forest) -> Column:
                 ),
             )["starts"]
 
-            def of_starts(starts: Column) -> Column:
+            # the text from one candidate's end to the next one's, as far as it is looked at
+            tails = F.transform(m, lambda x, i: F.right(F.concat(F.right(F.get(parts, i), F.lit(NEAR)), x), F.lit(NEAR)))
+
+            def of_starts(starts: Column, tails: Column) -> Column:
                 def one(x: Column, i: Column) -> Column:
-                    value = F.regexp_replace(x, "^" + _KEY, "")
+                    value = F.regexp_replace(x, _HEAD, "")
                     head = F.left(x, F.length(x) - F.length(value))
-                    before, after = F.concat(F.right(F.get(parts, i), F.lit(60)), head), F.left(F.get(parts, i + 1), F.lit(40))
+                    earlier = [F.coalesce(F.get(tails, i - k), F.lit("")) for k in range(NEAR_FOUND, 0, -1)]
+                    before = F.concat(F.right(F.concat(*earlier, F.right(F.get(parts, i), F.lit(NEAR))), F.lit(NEAR)), head)
+                    after = F.left(F.get(parts, i + 1), F.lit(40))
                     measures = F.array(*features(value, before, after, F.coalesce(path, F.lit(""))))
                     return let(
                         measures,
@@ -128,7 +141,7 @@ def found(text: Column, path: Column, forest) -> Column:
 
                 return F.transform(m, one)
 
-            return F.struct(parts.alias("parts"), let(ends, of_starts).alias("found"))
+            return F.struct(parts.alias("parts"), let(F.struct(ends.alias("starts"), tails.alias("tails")), lambda t: of_starts(t["starts"], t["tails"])).alias("found"))
 
         return F.when(F.size(m) > 0, let(F.split(whole, CANDIDATE), of_parts))
 
