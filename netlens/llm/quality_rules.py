@@ -26,7 +26,7 @@ STOP_WORDS = {
 
 #: (rule, measure, least, most); None: no bound. The order is that of the reasons.
 THRESHOLDS: list[tuple[str, str, float | None, float | None]] = [
-    ("words", "n_words", 50, 1_000_000),
+    ("words", "n_words", 50, None),
     ("mean_word_length", "mean_word_length", 2.0, 14.0),
     ("symbols_per_word", "symbol_ratio", None, 0.10),
     ("exclamations_per_word", "exclaim_ratio", None, 0.20),
