@@ -177,8 +177,6 @@ class PieceTransducer:
         """The ids as unsigned 32-bit integers."""
         if not text:
             return b""
-        for known in (self.words, self.parts, self.weights):
-            known.bounded()
         words = text.replace(BLANK, " ").split(" ")
         if "" not in words:
             return b"".join([ids for _, ids in map(self.words.__getitem__, words)])

@@ -3,7 +3,9 @@
 Words repeat far more often than texts, so a text is cut at blanks where the tokenizer
 starts a new pre-token anyway and each distinct piece is encoded once a worker. Pieces of Latin
 letters, digits and signs are cut in pre-tokens here and given to the tokenizer's model, all
-others to the whole tokenizer. The ids are exactly those of encoding the whole text at once.
+others to the whole tokenizer. The vocabulary's added tokens (``<|endoftext|>``) have their own
+ids wherever their strings stand in a text, as the library has it by default. The ids are exactly
+those of encoding the whole text at once.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from collections.abc import Iterator
 
 import regex
 
-#: Pieces and pre-tokens that a worker remembers at most; when full it starts anew (speed only).
-REMEMBERED, PRE_TOKENS = 400_000, 800_000
+#: Entries of a generation of each of a worker's memories and characters of a key that one takes:
+#: about 200 bytes an entry, so 30 MB a generation at most (speed only).
+REMEMBERED, LONGEST = 150_000, 64
 #: White space by any of the definitions in use; a cut has none of it on either side.
 _BLANK = r"\s\x1c-\x1f\x85\u180e\u200b\ufeff"
 _CUT = re.compile(rf"(?<=[^{_BLANK}])(?= [^{_BLANK}])")
@@ -34,42 +37,54 @@ _encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
 class Remembered(dict):
-    """A value for each key, made when it is first asked for."""
+    """A value for each key, made when it is first asked for; long keys are not kept.
 
-    def __init__(self, make, most: int):
+    When it is full a new generation begins: keys that are asked for again move over from the
+    one before, all others go with it.
+    """
+
+    def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.before = make, most, {}
 
     def __missing__(self, key):
-        self[key] = value = self.make(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
-    def bounded(self) -> None:
-        """Starts anew when full (between texts)."""
-        if len(self) > self.most:
-            self.clear()
-
 
 class WordEncoder:
     """Texts to little-endian unsigned 32-bit ids.
 
     ``keeps_blanks``: the tokenizer's pre-tokens carry the blank before them (byte-level);
-    else white space is dropped, case is lowered and each blank is a cut. Strings of special
-    tokens in a text are ordinary text.
+    else white space is dropped, case is lowered and each blank is a cut. ``specials_as_text``:
+    the strings of added tokens are ordinary text, not tokens.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool):
+    def __init__(self, path: str, keeps_blanks: bool, specials_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("an added token takes what stands beside it: texts cannot be cut there")
+        self.specials = {} if specials_as_text else {t.content: _packed([i]) for i, t in added.items()}
+        self.special = re.compile("|".join(re.escape(t) for t in sorted(self.specials, key=len, reverse=True)))
+        self.tokenizer.encode_special_tokens = True  # texts are cut at them before
         self.tokenize = self.tokenizer.model.tokenize
         self.keeps_blanks = keeps_blanks
-        self.pre_tokens = Remembered(self._pre_token, PRE_TOKENS)
-        self.pieces = Remembered(self._piece, REMEMBERED)
+        most = REMEMBERED if keeps_blanks else 2 * REMEMBERED  # two memories in place of three
+        self.pre_tokens = Remembered(self._pre_token)
+        self.pieces = Remembered(self._piece, most)
         #: what follows a blank; None where that blank may be no cut
-        self.later = Remembered(self._after_blank, REMEMBERED) if keeps_blanks else self.pieces
+        self.later = Remembered(self._after_blank) if keeps_blanks else self.pieces
 
     def _pre_token(self, text: str) -> bytes:
         return _packed([t.id for t in self.tokenize(text.encode().decode("latin-1").translate(_ALPHABET))])
@@ -98,9 +113,13 @@ class WordEncoder:
         return self._piece(" " + piece)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        for known in (self.later, self.pieces, self.pre_tokens):
-            known.bounded()
-        return [self._encoded(t or "") for t in texts]
+        return [self._with_specials(t or "") for t in texts]
+
+    def _with_specials(self, text: str) -> bytes:
+        if not any(map(text.__contains__, self.specials)):
+            return self._encoded(text)
+        plain, found = self.special.split(text), self.special.findall(text)
+        return b"".join([x for a, b in zip(plain, [*found, ""]) for x in (self._encoded(a) if a else b"", self.specials.get(b, b""))])
 
     def _encoded(self, text: str) -> bytes:
         head, *rest = text.split(" ")
@@ -122,13 +141,14 @@ def _packed(ids: list[int]) -> bytes:
 
 
 def encoder(path: str, keeps_blanks: bool) -> WordEncoder:
-    """The worker's own encoder for a vocabulary file; it lives as long as the worker."""
+    """The worker's own encoder for a vocabulary file; it lives as long as the worker, in bounded memory."""
     if (path, keeps_blanks) not in _encoders:
         _encoders[path, keeps_blanks] = WordEncoder(path, keeps_blanks)
     return _encoders[path, keeps_blanks]
 
 
-def slices(batch, rows: int = 256) -> Iterator:
-    """An Arrow batch in parts of so many rows."""
+def slices(batch, rows: int = 256, most: int = 1 << 20) -> Iterator:
+    """An Arrow batch in parts of so many rows, and of so many bytes where it has more than one row."""
+    rows = max(1, min(rows, batch.num_rows * most // max(1, batch.nbytes)))
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)

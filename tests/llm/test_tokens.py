@@ -13,7 +13,7 @@ from netlens.llm.tokens import WordEncoder
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
-ALPHABET = ["a", "B", "é", "  ", " ", "\n", "\t", " \n", "\x1c", "\x85", "\u180e", " ", " ", "1", "23", "'s", "'", "###", "日本", "é", "e\u0301", "\u0301", "<|endoftext|>", "ΑΣ", "\u200b", "İ", "\ufeff", "\r\n", "x_y", "🙂", "the", "word,", "aaa", "▁", "<0x0A>", "    "]
+ALPHABET = ["a", "B", "é", "  ", " ", "\n", "\t", " \n", "\x1c", "\x85", "\u180e", " ", " ", "1", "23", "'s", "'", "###", "日本", "é", "e\u0301", "\u0301", "<|endoftext|>", " <|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", "ΑΣ", "\u200b", "İ", "\ufeff", "\r\n", "x_y", "🙂", "the", "word,", "aaa", "▁", "<0x0A>", "    "]
 
 
 def texts(n=1500, seed=1):
@@ -23,7 +23,6 @@ def texts(n=1500, seed=1):
 
 def ids_of(name, values, end):
     t = tokenizers.Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return [[*e.ids, end] for e in t.encode_batch(values, add_special_tokens=False)]
 
 
@@ -37,6 +36,26 @@ def test_word_encoder_equals_the_library(name, keeps):
     assert own == [np.array(x[:-1], "<u4").tobytes() for x in ids_of(name, texts(), 0)]
 
 
+@pytest.mark.parametrize("name,keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_special_tokens(name, keeps):
+    values = ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a<|startoftext|>b <|endoftext|>", "<|<|endoftext|>|>", "E\u0301<|endoftext|>\u0301"]
+    library = tokenizers.Tokenizer.from_file(P.path(name))
+    own = WordEncoder(P.path(name), keeps)
+    assert [list(memoryview(x).cast("I")) for x in own.encode(values)] == [library.encode(v, add_special_tokens=False).ids for v in values]
+    library.encode_special_tokens = True
+    plain = WordEncoder(P.path(name), keeps, specials_as_text=True)
+    assert [list(memoryview(x).cast("I")) for x in plain.encode(values)] == [library.encode(v, add_special_tokens=False).ids for v in values]
+
+
+def test_memories_are_bounded():
+    own = WordEncoder(P.path("byte_bpe_50k.json"), True)
+    own.later.most = own.pre_tokens.most = 100
+    r = random.Random(4)
+    values = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.choice((3, 7, 200)))) for _ in range(60)) for _ in range(60)]
+    assert own.encode(values) == [np.array(x[:-1], "<u4").tobytes() for x in ids_of("byte_bpe_50k.json", values, 0)]
+    assert len(own.later) <= 100 and len(own.later.before) <= 100 and len(own.pre_tokens) <= 100 and max(map(len, own.later)) <= 64
+
+
 def test_token_files_round_trip(spark, tmp_path):
     values = texts(400) + ["long text " * 3000, "", "same", "same"]
     rows = [(i * 7 % 4001 - 50, t, i) for i, t in enumerate(values)]
