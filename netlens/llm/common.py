@@ -27,11 +27,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch while a table is written: each Python task holds a batch on either side.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def written(df: DataFrame, name: str, *parts: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: a plan cut that survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.partitionBy(*parts).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        df.write.partitionBy(*parts).parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

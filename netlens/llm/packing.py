@@ -1,11 +1,12 @@
 """Operator 7: best-fit packing of token pieces with a swap-based local search.
 
 Documents are encoded and cut in map tasks; only piece rows (no text, no ids) are shuffled.
-Pieces are dealt by hash in groups of about ``group_rows``, each packed in one task: best fit
+Pieces are dealt at random in groups of about ``group_rows``, each packed in one task: best fit
 in decreasing order, then a local search that empties the least filled bin by moves and by
 one-for-one, two-for-one and one-for-two exchanges, each of which raises the sum of squared
-fills. What lies in clearly underfull bins of all groups is packed again, until one group is left or
-nothing is gained, so that the waste does not grow with the number of groups.
+fills. Exchanges are looked for between lengths, not pieces, and a bin is tried once for all bins
+of the same lengths. What lies in clearly underfull bins of all groups is packed again, until one
+group is left or no bin is saved, so that the waste does not grow with the number of groups.
 
 Defined results: null and empty texts are one piece with the end id; a document longer than a
 sequence is cut in full pieces, its first piece has the rest; repeated rows are packed each;
@@ -15,7 +16,10 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ from .common import written
 from .tokens import encoder, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE_COLUMNS = [x.split()[0] for x in PIECES.split(", ")]
 
 
 def cuts(n: int, most: int) -> list[tuple[int, int]]:
@@ -80,49 +85,89 @@ def best_fit(lengths: list[int], most: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(lengths: list[int], donor: list[int], other: list[int], room: int) -> tuple[int, tuple, tuple]:
-    """The exchange that moves most tokens from donor to other within its room: (gain, out of donor, out of other)."""
+def _sums(counts: Counter) -> list[tuple[int, tuple]]:
+    """(tokens, lengths) of no, one or two pieces of a bin, each choice of lengths once."""
+    kinds = sorted(counts)
+    two = [(a + b, (a, b)) for i, a in enumerate(kinds) for b in kinds[i:] if a != b or counts[a] > 1]
+    return [(0, ())] + [(a, (a,)) for a in kinds] + two
+
+
+def _exchange(donor: Counter, other: Counter, room: int, surplus: int) -> tuple[int, tuple, tuple]:
+    """The exchange that moves most tokens from donor to other: (gain, out of donor, out of other).
+
+    It fits in ``room`` and leaves the sum of squared fills higher: with ``surplus`` more tokens
+    in other than in donor, a gain of x raises it where x > -surplus. One for none, one for one, two
+    for none, two for one and one for two are tried.
+    """
     best = (0, (), ())
-    outs = [((p,), lengths[p]) for p in donor]
-    outs += [((p, q), lengths[p] + lengths[q]) for i, p in enumerate(donor) for q in donor[:i]]
-    backs = [((), 0)] + [((p,), lengths[p]) for p in other]
-    backs += [((p, q), lengths[p] + lengths[q]) for i, p in enumerate(other) for q in other[:i]]
-    for out, n in outs:
-        for back, m in backs:
-            if len(out) + len(back) <= 3 and best[0] < n - m <= room:
-                best = (n - m, out, back)
+    backs = _sums(other)
+    by_size = [[x for x in backs if len(x[1]) == k] for k in range(3)]
+    for n, out in _sums(donor)[1:]:
+        for back in by_size[: 4 - len(out)]:
+            # the most that fits: the least that comes back for n - m <= room
+            at = bisect_left(back, (n - room,))
+            if at < len(back) and best[0] < (gain := n - back[at][0]) and gain > -surplus:
+                best = (gain, out, back[at][1])
     return best
 
 
 def local_search(bins: list[list[int]], lengths: list[int], most: int) -> list[list[int]]:
     """Empties the least filled bin again and again, while each step raises the sum of squared fills."""
     fill = [sum(lengths[p] for p in b) for b in bins]
-    least = -(-sum(fill) // most)
+    held = [Counter(lengths[p] for p in b) for b in bins]
+    pieces: list[dict[int, list[int]]] = []
+    for b in bins:
+        own: dict[int, list[int]] = {}
+        for p in b:
+            own.setdefault(lengths[p], []).append(p)
+        pieces.append(own)
+
+    def move(a: int, b: int, out: tuple) -> None:
+        for n in out:
+            pieces[b].setdefault(n, []).append(pieces[a][n].pop())
+            held[b][n] += 1
+            held[a][n] -= 1
+            if not held[a][n]:
+                del held[a][n]
+            fill[a] -= n
+            fill[b] += n
+
+    open_bins = [(f, b) for b, f in enumerate(fill) if 0 < f < most]
+    heapify(open_bins)
+    left = -(-sum(fill) // most)
     used = sum(f > 0 for f in fill)
-    while used > least:
-        open_bins = sorted((b for b, f in enumerate(fill) if 0 < f < most), key=lambda b: (fill[b], b))
-        if len(open_bins) < 2:
-            break
-        donor, others = open_bins[0], open_bins[1:]
-        moved = False
-        for b in reversed(others):
+    while used > left and len(open_bins) > 1:
+        donor = heappop(open_bins)[1]
+        others = sorted(open_bins, reverse=True)
+        moved, failed = set(), set()
+        for _, b in others:
+            kind = (fill[b], tuple(sorted(held[b].items())))
+            if kind in failed:
+                continue
+            stuck = True
             while fill[donor] and fill[b] < most:
-                gain, out, back = _exchange(lengths, bins[donor], bins[b], most - fill[b])
-                # fills f < g: moving x tokens from f to g raises f*f + g*g
-                if not gain or fill[b] < fill[donor] - gain:
+                gain, out, back = _exchange(held[donor], held[b], most - fill[b], fill[b] - fill[donor])
+                if not gain:
                     break
-                bins[donor] = [p for p in bins[donor] if p not in out] + list(back)
-                bins[b] = [p for p in bins[b] if p not in back] + list(out)
-                fill[donor] -= gain
-                fill[b] += gain
-                moved = True
+                move(donor, b, out)
+                move(b, donor, back)
+                moved.add(b)
+                stuck = False
+                failed = set()
+            if stuck:
+                failed.add(kind)
             if not fill[donor]:
                 break
         if not fill[donor]:
             used -= 1
         elif not moved:
             break
-    return [b for b in bins if b]
+        else:
+            moved.add(donor)
+        if moved:
+            open_bins = [(fill[b], b) for b in {x[1] for x in open_bins} | {donor} if 0 < fill[b] < most]
+            heapify(open_bins)
+    return [[p for ps in own.values() for p in ps] for own in pieces if any(own.values())]
 
 
 def packed_group(rows: pa.Table, most: int, open_below: float) -> pa.Table:
@@ -147,21 +192,25 @@ def packed_group(rows: pa.Table, most: int, open_below: float) -> pa.Table:
 
 def pack(pieces: DataFrame, most: int, group_rows: int = 8192, open_below: float = 0.97) -> DataFrame:
     """Piece rows with ``sequence_id`` and ``offset``."""
-    todo, closed, level = written(pieces, "pieces"), [], 0
+    # a random place in the table, kept with it: equal rows and null keys are dealt as all others
+    todo = written(pieces.withColumn("place", F.rand(7)), "pieces")
+    closed, level, before = [], 0, None
+    out_schema = PIECES + ", place double, grp long, bin long, offset long, loose boolean"
     n = todo.count()
-    out_schema = PIECES + ", grp long, bin long, offset long, loose boolean"
     while True:
         groups = max(1, round(n / group_rows))
-        dealt = todo.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(groups)).alias("grp"))
+        dealt = todo.withColumn("grp", F.floor(F.pmod(F.col("place") * F.lit(7919.0**level), F.lit(1.0)) * groups))
         done = written(dealt.groupBy("grp").applyInArrow(lambda x: packed_group(x, most, open_below), out_schema), "packed")
         number = (F.lit(level) * F.lit(1 << 56) + F.col("grp") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id")
         columns = ["doc_id", "piece", "start", "length", "ids_crc32", number, "offset"]
-        loose = done.where("loose").count() if groups > 1 else 0
-        if groups == 1 or not loose or loose > n // 2:
+        loose = done.where("loose")
+        rows, bins, tokens = loose.agg(F.count("*"), F.count_distinct("grp", "bin"), F.sum("length")).first()
+        # over when one group holds all, when full bins could not be fewer, or when the last round saved none
+        if groups == 1 or not rows or bins <= -(-tokens // most) or (before is not None and bins >= before):
             closed.append(done.select(*columns))
             break
         closed.append(done.where("not loose").select(*columns))
-        todo, n, level = done.where("loose"), loose, level + 1
+        todo, n, level, before = loose.select(*PIECE_COLUMNS, "place"), rows, level + 1, bins
     out = closed[0]
     for x in closed[1:]:
         out = out.unionByName(x)

@@ -1,10 +1,12 @@
 import collections
 import math
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from netlens.llm.packing import best_fit, best_fit_packing, cuts, local_search, token_pieces, pack
 from netlens.llm.piece_transducer import PieceTransducer, decode_pieces, encode_pieces
@@ -114,6 +116,23 @@ def test_local_search_empties_a_bin():
     assert len(local_search(bins, lengths, 100)) == 2
 
 
+@pytest.mark.parametrize("length", [3, 13, 700])
+def test_equal_pieces_are_searched_at_once(length):
+    lengths = [length] * 8192
+    bins = best_fit(lengths, 2048)
+    began = time.process_time()
+    better = local_search([list(b) for b in bins], lengths, 2048)
+    assert time.process_time() - began < 2
+    assert len(better) == -(-8192 // (2048 // length)) and sorted(p for b in better for p in b) == list(range(8192))
+
+
+def test_repeated_rows_and_null_ids_are_dealt_over_groups(spark):
+    rows = spark.range(4000).selectExpr("cast(null as long) doc_id", "0 piece", "cast(0 as long) start", "cast(9 as long) length", "cast(7 as long) ids_crc32").withColumn("piece", F.col("piece").cast("int"))
+    out = pack(rows, 100, group_rows=500)
+    assert placed(out.collect(), 100) <= 4000 // 11 + 10
+    assert out.groupBy((F.col("sequence_id") / (1 << 24)).cast("long")).count().agg(F.max("count")).first()[0] < 700
+
+
 def placed(rows, most):
     seq = collections.defaultdict(list)
     for r in rows:
