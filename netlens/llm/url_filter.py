@@ -11,6 +11,7 @@ columns named like an output give way.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -25,28 +26,45 @@ OUTPUTS = ("host", "path", "rule", "verdict", "score")
 #: (rule, verdict); a rule is a host and the path prefix after it.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
-# The labelled table: urls to block and to allow.
+# The labelled table: invented urls to block (gambling, pills, adult, loans, cracks, ads, prizes, copies) and to allow.
 BLOCKED = """
-http://spam-farm.example.org/en/12 http://www.spam-site.example.com/offers/1 http://spamlink.example.org/a http://best-spam.example.com/x/9
-http://cheap-pills.example.com/en/4 http://buy-pills-online.example.org/shop http://pills-discount.example.com/de/8 http://cheap-meds.example.org/fr/2
-http://casino-win.example.org/en/77 http://online-casino.example.com/play http://casino-bonus.example.org/es/5 http://big-casino.example.com/fr/61
-http://free-bets.example.org/en/3 http://sports-bets.example.com/odds http://betting-tips.example.org/de/90 http://bets-today.example.com/en/14
-http://adult-x.example.org/fr/6 http://adult-cams.example.com/live http://xxx-adult.example.org/en/1 http://adult-video.example.com/es/33
-http://ads-track.example.org/en/5 http://track-click.example.com/r http://ads-server.example.org/de/18 http://clicktrack-ads.example.com/fr/44
-http://free-money.example.com/en/9 http://win-prize.example.org/fr/10 http://cheap-loans.example.com/es/7 http://poker-win.example.org/en/8
-http://m.cheap-watches.example.org/en/65 http://blog.free-spins.example.com/de/71 http://www.casino-slots.example.org/fr/39 http://m.adult-date.example.com/en/29
+http://casino-royal-play.com/slots http://www.bestcasino777.net/bonus/500 http://online-casino-hub.org/free-spins http://mega-slots-casino.info/play http://casinospin.club/jackpot/3
+http://poker-stars-win.biz/tables http://livepoker-bonus.com/join http://m.poker-cash.net/deposit/20 http://bet365wins.info/odds http://sportsbet-odds.com/live/88
+http://free-betting-tips.org/today http://betwin-bonus.net/signup http://www.jackpot-lottery-win.com/claim http://lottery-prize-winner.org/claim/9 http://spin-slots-free.com/bonus
+http://cheap-viagra-pills.com/buy http://buy-cialis-online.net/order/2 http://discount-pills-rx.org/shop http://pills-no-prescription.com/cart http://rx-meds-cheap.info/buy/7
+http://www.canadian-pills-shop.biz/viagra http://diet-pills-fast.com/order http://weightloss-pills.net/buy-now http://cheapmeds24.com/pharmacy/discount http://buy-xanax-meds.org/cheap
+http://xxx-adult-video.com/watch http://free-adult-cams.net/live/4 http://hot-adult-dating.org/join http://adult-xxx-tube.info/video/31 http://sexy-cams-live.com/girls
+http://www.adult-hookup-dating.net/signup http://m.xxxvideos-free.org/watch/12 http://sex-dating-tonight.com/meet http://adultchat-cams.biz/free http://hotgirls-cam.club/live
+http://payday-loans-fast.com/apply http://cheap-loan-today.net/apply/3 http://quick-cash-loans.org/money http://no-credit-loans.info/cash-now http://easymoney-loan.biz/apply
+http://make-money-fast.com/rich http://work-home-cash.net/earn/900 http://earn-free-money.org/join http://get-rich-crypto.info/invest http://bitcoin-doubler-free.com/deposit
+http://free-iphone-prize.com/claim http://win-free-gift.net/prize/1 http://www.prize-winner-gift.org/claim http://freegiftcards-win.info/survey http://survey-reward-win.com/gift
+http://crack-keygen-download.com/serial http://warez-free-crack.net/download/5 http://torrent-cracked-games.org/keygen http://serial-keygen-crack.info/full http://free-warez-download.biz/crack
+http://click-ads-tracker.com/popup http://adserver-banner.net/click/77 http://track-popunder-ads.org/r http://popads-clicks.info/banner http://ad-click-redirect.biz/track/6
+http://cheap-replica-watches.com/buy http://replica-rolex-shop.net/discount http://fake-handbags-cheap.org/order/8 http://cheap-replica-bags.info/sale http://discount-watches-replica.biz/buy
+http://seo-backlinks-cheap.com/buy http://spam-mailer-bulk.net/order http://bulk-email-spam.org/list/4 http://cheap-traffic-clicks.info/buy http://spamlinks-seo.biz/backlinks
+http://hot-deals-cheap.club/buy-now http://free-download-win.com/click http://www.spin-win-cash.org/bonus http://m.cheap-pills-meds.com/buy http://blog.casino-bonus-spins.net/free
 """
 ALLOWED = """
-http://ththin.example.org/en/12 http://www.therha.example.com/en/44 http://blog.tionsh.example.org/es/5 http://m.ththes.example.com/fr/76
-http://tionble.example.com/fr/8 http://ththing.example.org/de/19.html http://blog.therou.example.com/en/33/ http://www.ererin.example.org/en/2
-http://news.example.com/en/100 http://docs.example.org/es/7 http://library.example.com/fr/51 http://university.example.org/en/23
-http://m.weather.example.com/en/61 http://blog.gardening.example.org/fr/9.html http://recipes.example.com/es/88/ http://history.example.org/en/70
-http://www.museum.example.com/fr/16 http://school.example.org/es/28 http://forum.example.com/en/95 http://wiki.example.org/en/3
-http://ondered.example.org/en/81 http://blog.anthere.example.com/fr/47 http://m.inghat.example.org/es/63 http://theory.example.com/en/57/
-http://www.handor.example.com/en/38 http://ertion.example.org/de/91 http://blog.ousher.example.com/es/20 http://ndthat.example.org/en/69.html
-http://science.example.com/en/6 http://blog.travel.example.org/fr/72 http://m.music.example.com/es/13 http://www.cityhall.example.org/en/41
+http://citylibrary.org/catalogue http://www.northlibrary.net/opening-hours http://library-archive.org/manuscripts/12 http://schoollibrary.com/readers http://universitylibrary.org/theses/2019
+http://hillschool.org/timetable http://www.riverside-school.com/teachers http://primaryschool.net/lessons/4 http://university-physics.org/lectures http://stateuniversity.com/research/papers/7
+http://college-history.org/courses http://www.mathematics-institute.net/seminar/3 http://science-journal.org/articles/55 http://journalofbiology.com/volume/9 http://chemistry-notes.net/elements
+http://naturalhistorymuseum.org/exhibits http://museum-of-art.com/paintings/8 http://www.railwaymuseum.net/visit http://gallery-modern.org/sculpture http://townmuseum.com/history/1900
+http://dailynews.com/politics/2021 http://www.eveningpost.org/world http://localnews-valley.net/stories/6 http://morning-herald.com/opinion http://news-agency.org/reports/41
+http://weatherforecast.com/tomorrow http://m.weather-station.org/rain/3 http://climate-data.net/tables http://mountain-weather.org/snow http://oceancurrents.net/maps/2
+http://gardening-notes.org/roses http://blog.vegetablegarden.com/tomatoes/5 http://birdwatching.net/species/77 http://www.forest-trees.org/oak http://wildflowers.com/meadow
+http://recipes-kitchen.com/bread http://blog.soupandstew.org/lentils/2 http://bakinghome.net/cakes http://www.slowcooking.com/beans/9 http://cookbook-classics.org/sauces
+http://docs.opensource.org/manual http://developer-guide.com/python/tutorial http://wiki.programming.net/algorithms/18 http://www.linuxhandbook.org/commands http://database-theory.com/joins/4
+http://travel-diary.org/mountains http://blog.walkingtours.com/castles/3 http://www.islandferries.net/timetable http://railtimetable.org/stations/66 http://cityguide.com/bridges
+http://hospital-trust.org/departments http://www.nursing-handbook.net/wards http://health-research.org/studies/14 http://medicine-journal.com/trials http://dentistsociety.org/members
+http://parliament.org/debates/30 http://www.townhall.net/council http://lawreports.org/cases/1987 http://courts-archive.com/judgments http://publicrecords.org/census/5
+http://orchestra.org/concerts http://www.chambermusic.net/quartets/2 http://folk-songs.org/ballads http://theatre-company.com/plays/11 http://filmsociety.org/archive
+http://chessclub.org/openings/7 http://www.rowingclub.net/regatta http://football-league.com/results/33 http://cyclingroutes.org/hills http://athletics-federation.org/records
+http://poetry-archive.org/sonnets http://www.novelists.net/chapters/6 http://philosophy-pages.org/ethics http://languagelearning.com/grammar/4 http://dictionary-project.org/words
 """
 BITS, LEAST_N, MOST_N = 15, 3, 5
+#: The length of the path's part of the features; the host's is 1.
+PATH_WEIGHT = 0.2
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def host_of(url: Column) -> Column:
@@ -68,31 +86,41 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def grams(host: str, path: str) -> np.ndarray:
-    """The hashed n-grams of host and path; digits are alike, and each part has its ends marked."""
-    out = set()
-    for mark, part in (("h", host), ("p", path)):
-        part = f"^{''.join('0' if c.isdigit() else c for c in part)}$"
-        for n in range(LEAST_N, MOST_N + 1):
-            for i in range(len(part) - n + 1):
-                out.add(zlib.crc32(f"{mark}{part[i : i + n]}".encode("utf-8", "replace")) >> (32 - BITS))
+def _hashed(mark: str, part: str) -> np.ndarray:
+    """The hashed n-grams of a part, its ends marked; runs of digits are alike."""
+    part = f"^{re.sub('[0-9]+', '0', part)}$"
+    out = {zlib.crc32(f"{mark}{part[i : i + n]}".encode("utf-8", "replace")) >> (32 - BITS) for n in range(LEAST_N, MOST_N + 1) for i in range(len(part) - n + 1)}
     return np.fromiter(sorted(out), np.int64, len(out))
 
 
-def fitted(blocked: list[str], allowed: list[str], rounds: int = 300, rate: float = 1.0, decay: float = 1e-3) -> np.ndarray:
+def features(host: str, path: str) -> list[tuple[np.ndarray, float]]:
+    """(n-grams, value of each) of host and path: each part has a length of its own, so that a longer path takes nothing from the host."""
+    out = []
+    for mark, part, weight in (("h", host, 1.0), ("p", path, PATH_WEIGHT)):
+        hits = _hashed(mark, part)
+        out.append((hits, weight / np.sqrt(max(1, len(hits)))))
+    return out
+
+
+def parts_of(url: str) -> tuple[str, str]:
+    """Host and path as ``host_of`` and ``path_of`` cut them."""
+    found = re.search(r"://([^/?#]*)([^?#]*)", url)
+    return (found[1].translate(_LOWER), found[2]) if found else ("", "")
+
+
+def fitted(blocked: list[str], allowed: list[str], rounds: int = 400, rate: float = 4.0, decay: float = 1e-3) -> np.ndarray:
     """Weights by plain gradient descent; the last one is the intercept."""
     rows = [(url, 1.0) for url in blocked] + [(url, 0.0) for url in allowed]
     x = np.zeros((len(rows), 2**BITS + 1))
     for r, (url, _) in enumerate(rows):
-        host, _, path = url.partition("://")[2].partition("/")
-        hits = grams(host, "/" + path)
-        x[r, hits] = 1 / np.sqrt(max(1, len(hits)))
+        for hits, value in features(*parts_of(url)):
+            x[r, hits] += value
         x[r, -1] = 1
     y, w = np.array([v for _, v in rows]), np.zeros(x.shape[1])
     used = np.flatnonzero(x.any(0))
     x, v = x[:, used], w[used]
     for _ in range(rounds):
-        v -= rate * (x.T @ (1 / (1 + np.exp(-x @ v)) - y) / len(y) * 10 + decay * v)
+        v -= rate * (x.T @ (1 / (1 + np.exp(-x @ v)) - y) / len(y) + decay * v)
     w[used] = v
     return w
 
@@ -107,8 +135,7 @@ def url_filter(df: DataFrame, url: str = "url", rules=RULES, blocked: str = BLOC
         out = []
         for key in zip(hosts, paths, strict=True):
             if key not in known:
-                hits = grams(*key)
-                known[key] = float(weights[hits].sum() / np.sqrt(max(1, len(hits))) + weights[-1])
+                known[key] = float(sum(weights[hits].sum() * value for hits, value in features(*key)) + weights[-1])
             out.append(1 / (1 + np.exp(-known[key])))
         return pd.Series(out, dtype="float64")
 

@@ -40,6 +40,32 @@ def test_url_model_on_held_out_urls(spark):
     assert right / len(rows) >= 0.85
 
 
+def test_url_scores_equal_a_plain_version_and_hosts_keep_their_verdict(spark):
+    """Scores against the sum over n-grams written out; a number in the path changes no verdict."""
+    import math
+    import re as regex
+    import zlib
+
+    from netlens.llm.url_filter import BITS, PATH_WEIGHT, fitted
+
+    w = fitted(BLOCKED.split(), ALLOWED.split())
+
+    def plain(host, path):
+        total = w[-1]
+        for mark, part, weight in (("h", host, 1.0), ("p", path, PATH_WEIGHT)):
+            part = "^" + regex.sub(r"[0-9]+", "0", part) + "$"
+            slots = {zlib.crc32((mark + part[i : i + n]).encode()) >> (32 - BITS) for n in (3, 4, 5) for i in range(len(part) - n + 1)}
+            total += sum(w[k] for k in slots) * weight / math.sqrt(max(1, len(slots)))
+        return 1 / (1 + math.exp(-total))
+
+    hosts = ["quiet-valley.org", "m.ads-track.example.com", "www.cheap-pills.example.com", "blog.lighthouse.example.org"]
+    rows = [(f"http://{h}/{lang}/{n}", h) for h in hosts for lang in ("en", "es") for n in (1, 23, 456)]
+    out = url_filter(spark.createDataFrame(rows, "url string, source_host string"), rules=[("none.invalid/", "block")]).collect()
+    assert all(abs(r.score - plain(r.host, r.path)) < 1e-9 for r in out)
+    verdicts = {h: {r.verdict for r in out if r.source_host == h} for h in hosts}
+    assert verdicts == {hosts[0]: {"allow"}, hosts[1]: {"block"}, hosts[2]: {"block"}, hosts[3]: {"allow"}}
+
+
 def test_neighbours_reach_recall_and_ties(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1200, 24))
