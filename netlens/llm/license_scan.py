@@ -23,7 +23,7 @@ coefficients go to the template that is first by name.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
@@ -133,8 +133,12 @@ class Matcher:
             if self.fewest <= n <= self.most and (m := self.best([w for x in words[a:b] for w in x])):
                 hits.append((*m, a, b - a))
         kept: list = []
+        taken: dict[str, list[tuple[int, int]]] = defaultdict(list)  # of each license the lines that are kept, in order and apart
         for h in sorted(hits, key=lambda h: (-h[1], h[3], h[2])):
-            if all(h[0] != k[0] or h[2] + h[3] <= k[2] or k[2] + k[3] <= h[2] for k in kept):
+            own, span = taken[h[0]], (h[2], h[2] + h[3])
+            at = bisect_left(own, span)
+            if (at == len(own) or span[1] <= own[at][0]) and (at == 0 or own[at - 1][1] <= span[0]):
+                own.insert(at, span)
                 kept.append(h)
         if found := self.windows([w for x in words for w in x]):
             kept += self._added(found, kept, words)

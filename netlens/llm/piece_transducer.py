@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +32,34 @@ from .common import fewer
 from .tokens import Remembered, slices
 
 BLANK = "▁"
-#: Words, parts of words and pairs of pieces that a worker remembers at most.
-WORDS, PARTS, PAIRS = 400_000, 500_000, 1_000_000
+#: Words, parts of words, pairs of pieces and runs of blanks in a generation of a worker's memories (speed only).
+WORDS, PARTS, PAIRS, RUNS = 200_000, 150_000, 300_000, 256
 OUTPUTS = ("n_pieces", "n_byte_pieces", "ids_crc32", "round_trip")
 
 
 def merged(symbols: list[str], score: dict[str, float]) -> list[str]:
-    """Merges neighbours into pieces, best score first, then leftmost."""
-    symbols = list(symbols)
-    while True:
-        best = max(((score[p], -i) for i in range(len(symbols) - 1) if (p := symbols[i] + symbols[i + 1]) in score), default=None)
-        if best is None:
-            return symbols
-        i = -best[1]
-        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+    """Merges neighbours into pieces, best score first, then leftmost: one queue of pairs, n log n steps."""
+    parts: list[str | None] = list(symbols)
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    queue: list[tuple[float, int, str]] = []
+
+    def offer(i: int) -> None:
+        if 0 <= i and after[i] < len(parts) and (p := parts[i] + parts[after[i]]) in score:
+            heappush(queue, (-score[p], i, p))
+
+    for i in range(len(parts)):
+        offer(i)
+    while queue:
+        _, i, piece = heappop(queue)
+        if parts[i] is None or after[i] >= len(parts) or parts[i] + parts[after[i]] != piece:
+            continue  # one of the two is gone
+        gone = after[i]
+        parts[i], parts[gone], after[i] = piece, None, after[gone]
+        if after[i] < len(parts):
+            before[after[i]] = i
+        offer(i)
+        offer(before[i])
+    return [p for p in parts if p is not None]
 
 
 class PieceTransducer:
@@ -82,7 +97,7 @@ class PieceTransducer:
         self.words = Remembered(self._word, WORDS)
         self.parts = Remembered(self._part, PARTS)
         self.weights = Remembered(self._weight, PAIRS)
-        self.runs: dict[int, bytes] = {}
+        self.runs = Remembered(self._run, RUNS)
 
     def _halves(self, piece: str) -> tuple[str, str]:
         """The two pieces whose merge makes a piece when it is encoded alone."""
@@ -169,9 +184,10 @@ class PieceTransducer:
 
     def _run(self, n: int) -> bytes:
         """The ids of n blanks."""
-        if n not in self.runs:
-            self.runs[n] = array("I", [self.id[p] for p in merged([BLANK] * n, self.score)]).tobytes()
-        return self.runs[n]
+        return array("I", [self.id[p] for p in merged([BLANK] * n, self.score)]).tobytes()
+
+    def _blanks(self, n: int) -> bytes:
+        return self.runs[n] if n <= RUNS else self._run(n)
 
     def encode(self, text: str | None) -> bytes:
         """The ids as unsigned 32-bit integers."""
@@ -187,11 +203,11 @@ class PieceTransducer:
                 continue
             alone, ids = self.words[word]
             if blanks:
-                out.append(self._run(blanks + alone))
+                out.append(self._blanks(blanks + alone))
                 ids = ids[4 * alone :]
             out.append(ids)
             blanks = 0
-        return b"".join(out + [self._run(blanks)] * (blanks > 0))
+        return b"".join(out + [self._blanks(blanks)] * (blanks > 0))
 
     def decode(self, ids: bytes) -> str:
         whole = b"".join(map(self.raw.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")

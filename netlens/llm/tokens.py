@@ -51,7 +51,7 @@ class Remembered(dict):
         value = self.before.get(key)
         if value is None:
             value = self.make(key)
-        if len(key) <= LONGEST:
+        if not isinstance(key, str) or len(key) <= LONGEST:
             if len(self) >= self.most:
                 self.before = dict(self)
                 self.clear()

@@ -178,3 +178,14 @@ def test_transducer_equals_the_library(spark):
     back = {r.doc_id: r.text for r in decode_pieces(out, path).collect()}
     assert all(back[i] == t.replace("▁", " ") for i, t in enumerate(values[:200])) and back[900] == ""
     assert encode_pieces(df.limit(0), path).count() == 0
+
+
+def test_long_runs_of_blanks_in_linear_time():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = P.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), PieceTransducer(path)
+    values = ["a" + " " * n + "b" for n in (1, 2, 3, 15, 16, 17, 31, 300, 1000)] + [" " * 100_000, " " * 5000 + "end"]
+    began = time.process_time()
+    got = [list(memoryview(own.encode(t)).cast("I")) for t in values]
+    assert time.process_time() - began < 3
+    assert got == library.encode(values)
