@@ -168,11 +168,11 @@ def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as conn (even ids) and alert (odd) rows."""
+    """Each event as a conn row and as an alert row."""
     rows = adapted(spark, sf_dir)
     level = F.when(F.col("event_type") == "error", "high").when(F.col("event_type") == "purchase", "medium").otherwise("low")
     extra = {"duration": "value", "conn_state": "event_type", "end_reason": "event_type", "src_port": "k", "pkts_a_to_b": "seq", "bytes_a_to_b": "seq", "pkts_b_to_a": "seq", "bytes_b_to_a": "seq"}
-    out = _conn(rows, "k", "k").withColumn("event", F.when(F.col("seq") % 2 == 0, "conn").otherwise("alert")).withColumn("severity", level).withColumn("name", F.col("event_type"))
+    out = _conn(rows, "k", "k").withColumn("event", F.explode(F.array(F.lit("conn"), F.lit("alert")))).withColumn("severity", level).withColumn("name", F.col("event_type"))
     for name, of in extra.items():
         out = out.withColumn(name, F.col(of))
     return out.withColumn("message", F.col("event_type")).withColumn("evidence", F.array("uid"))
@@ -185,33 +185,33 @@ def _flow_view(rows: DataFrame) -> DataFrame:
     return rows.select("seq", F.round(F.col("ts") * 1e6).cast("long").alias("us"), "src", "dst", "conn_state")
 
 
-@query(f"WITH {E} SELECT {_FLOW_COLUMNS} FROM e WHERE event_id % 2 = 0 AND us >= 1704844800000000 AND (user_id = 7 OR k = 7) ORDER BY event_id")
+@query(f"WITH {E} SELECT {_FLOW_COLUMNS} FROM e WHERE us >= 1704844800000000 AND (user_id = 7 OR k = 7) ORDER BY event_id")
 def flow_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flow_view(Q.query_flows(_stored(spark, sf_dir), since=1704844800.0, host="7"))
 
 
-@query(f"WITH {E} SELECT event_id AS seq, us, event_type AS name FROM e WHERE event_id % 2 = 1 AND us >= 1704844800000000 AND event_type IN ('error', 'purchase')")
+@query(f"WITH {E} SELECT event_id AS seq, us, event_type AS name FROM e WHERE us >= 1704844800000000 AND event_type IN ('error', 'purchase')")
 def alert_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.query_alerts(_stored(spark, sf_dir), since=1704844800.0, min_severity="medium").select("seq", F.round(F.col("ts") * 1e6).cast("long").alias("us"), "name")
 
 
-@query(f"WITH {E} SELECT event_id AS seq, us, event_type AS name FROM e WHERE event_id % 2 = 1 AND event_type = 'error'")
+@query(f"WITH {E} SELECT event_id AS seq, us, event_type AS name FROM e WHERE event_type = 'error'")
 def alert_query_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.query_alerts(_stored(spark, sf_dir), name="error").select("seq", F.round(F.col("ts") * 1e6).cast("long").alias("us"), "name")
 
 
-@query(f"WITH {E} SELECT {_FLOW_COLUMNS} FROM e WHERE event_id % 2 = 0 ORDER BY us DESC, event_id LIMIT 50")
+@query(f"WITH {E} SELECT {_FLOW_COLUMNS} FROM e ORDER BY us DESC, event_id LIMIT 50")
 def recent_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flow_view(Q.recent_flows(_stored(spark, sf_dir)))
 
 
-@query(f"WITH {E}, u AS (SELECT 0 AS o, * FROM e WHERE event_id % 2 = 1 UNION ALL SELECT 1 AS o, * FROM e WHERE event_id % 2 = 1 AND event_type = 'error') SELECT event_id AS seq, us, event_type AS name FROM u ORDER BY us DESC, o, event_id LIMIT 50")
+@query(f"WITH {E}, u AS (SELECT 0 AS o, * FROM e UNION ALL SELECT 1 AS o, * FROM e WHERE event_type = 'error') SELECT event_id AS seq, us, event_type AS name FROM u ORDER BY us DESC, o, event_id LIMIT 50")
 def recent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stored(spark, sf_dir)
     return Q.recent_alerts(rows, rows.where("name = 'error'")).select("seq", F.round(F.col("ts") * 1e6).cast("long").alias("us"), "name")
 
 
-@query(f"WITH {E} SELECT COUNT(*) AS n FROM e")
+@query(f"WITH {E} SELECT 2 * COUNT(*) AS n FROM e")
 def event_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.count_events(_stored(spark, sf_dir))
 
