@@ -33,7 +33,7 @@ from .tokens import Remembered, slices
 
 BLANK = "▁"
 #: Words, parts of words, pairs of pieces and runs of blanks in a generation of a worker's memories (speed only).
-WORDS, PARTS, PAIRS, RUNS = 200_000, 150_000, 300_000, 256
+WORDS, PARTS, PAIRS, RUNS = 400_000, 300_000, 500_000, 256
 OUTPUTS = ("n_pieces", "n_byte_pieces", "ids_crc32", "round_trip")
 
 
