@@ -88,12 +88,24 @@ def one_decimal(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else f"{v:.1f}")
 
 
-@F.pandas_udf(T.StringType())
-def ipv6_text(raw: pd.Series) -> pd.Series:
-    """The compressed text of 16 address bytes."""
-    import ipaddress
-
-    return raw.map(lambda b: None if b is None or len(b) != 16 else str(ipaddress.IPv6Address(bytes(b))))
+def ipv6_text(raw: Column) -> Column:
+    """The compressed text of 16 address bytes: the longest run of two or more zero groups, the first among equals, is ``::``.
+
+    Mapped IPv4 addresses (::ffff:0:0/96) show their last four bytes as IPv4 does.
+    """
+    groups = [F.lower(F.regexp_replace(F.hex(F.substring(raw, i, 2)), "^0{1,3}", "")) for i in range(1, 17, 2)]
+
+    def compressed(full: Column) -> Column:
+        out = full
+        for n in range(2, 9):  # the longest is looked at last, so it wins
+            run = "^((?:[0-9a-f]+:)*?)0(?::0){%d}(?::|$)(.*)$" % (n - 1)
+            head = F.regexp_extract(full, run, 1)
+            out = F.when(full.rlike(run), F.concat(head, F.when(head == "", "::").otherwise(":"), F.regexp_extract(full, run, 2))).otherwise(out)
+        return out
+
+    mapped = F.hex(F.substring(raw, 1, 12)) == "00000000000000000000FFFF"
+    text = F.when(mapped, F.concat(F.lit("::ffff:"), ipv4_text(F.substring(raw, 13, 4)))).otherwise(let(F.concat_ws(":", *groups), compressed))
+    return F.when(F.length(raw) == 16, text)
 
 
 def number_text(x: float) -> str:

@@ -91,7 +91,7 @@ def layers(frames: DataFrame) -> DataFrame:
         )))
 
     rows = frames.select("*", F.inline(F.transform(F.array(_link(data)), all_)))
-    ip = lambda side: F.coalesce(F.when(F.length(side) == 4, ipv4_text(F.col(side))), ipv6_text(F.when(F.length(side) == 16, F.col(side))))
+    ip = lambda side: F.when(F.length(side) == 4, ipv4_text(F.col(side))).when(F.length(side) == 16, ipv6_text(F.col(side)))
     rows = rows.select("*", ip("src_raw").alias("src"), ip("dst_raw").alias("dst"))
     has = F.col("version").isNotNull()
     end = lambda side: F.struct(F.col("version").alias("v"), F.col(f"{side}_raw").alias("raw"), F.coalesce(f"{side}_port", F.lit(-1)).alias("port"), F.col(side).alias("ip"))

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +23,7 @@ from ..operators.detections import RuleEngine, timed
 from ..plans.folds import cooldown
 
 WINDOW_ROWS = 10_000
+_MANIFEST = "version long, rows string, fired string, next_uid long"
 
 
 def slid(rows: DataFrame, window: float, most: int = WINDOW_ROWS) -> DataFrame:
@@ -60,6 +62,21 @@ class LiveDetector:
         self.version = 0
         self._rows: str | None = None
         self._fired: str | None = None
+        self._resume()
+
+    def _resume(self) -> None:
+        """Goes on from the last manifest in the state folder, if there is one."""
+        try:
+            told = self.spark.read.schema(_MANIFEST).json(f"{self.state}/manifest").orderBy(F.desc("version")).first()
+        except AnalysisException:  # no folder yet
+            told = None
+        if told:
+            self.version, self._rows, self._fired, self.engine.next = told.version, told.rows, told.fired, told.next_uid
+
+    def _told(self) -> None:
+        """Writes what a restart needs, as the last step of a push or tick: one row, so a lost tick leaves the one before."""
+        row = [(self.version, self._rows, self._fired, self.engine.next)]
+        self.spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("append").json(f"{self.state}/manifest")
 
     def _saved(self, df: DataFrame, name: str) -> str:
         path = f"{self.state}/{name}-{self.version:08d}"
@@ -73,12 +90,14 @@ class LiveDetector:
             rows = self.spark.read.parquet(self._rows).unionByName(rows)
         self.version += 1
         self._rows = self._saved(slid(rows, self.window, self.most), "window")
+        self._told()
 
     def tick(self, now: float) -> DataFrame:
         """The alerts of the window that are not cooling down at time ``now``."""
         if not self._rows:
             raise ValueError("push events first")
-        alerts = self.engine.run(self.spark.read.parquet(self._rows)).withColumn("ts_us", F.lit(round(now * 1e6)))
+        held = self.engine.run(self.spark.read.parquet(self._rows))
+        alerts = held.withColumn("ts_us", F.lit(round(now * 1e6)))
         gap = round(self.gap * 1e6)
         fresh = alerts
         if self._fired:
@@ -87,12 +106,14 @@ class LiveDetector:
             fresh = alerts.join(hot, ["name", "src"], "left_anti")
         self.version += 1
         out = self.spark.read.parquet(self._saved(cooldown(fresh, gap, order="no").drop("ts_us"), "alerts"))
+        held.unpersist()
         now_fired = out.select("name", "src").distinct().withColumn("last_us", F.lit(round(now * 1e6)))
         if self._fired:
             # entries go after ten gaps
             old = self.spark.read.parquet(self._fired).where(F.lit(round(now * 1e6)) - F.col("last_us") < 10 * gap)
             now_fired = old.join(now_fired, ["name", "src"], "left_anti").unionByName(now_fired.select(*old.columns))
         self._fired = self._saved(now_fired, "fired")
+        self._told()
         return out.orderBy("no").drop("no")
 
 

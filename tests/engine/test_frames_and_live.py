@@ -8,6 +8,7 @@ from netlens.operators.detections import ArpSpoof, RuleEngine
 from netlens.operators.flows import conn_events, events_of_frames, flows_with_ticks, fold_flows
 from netlens.operators.frames import layers, link_counters
 from netlens.sources.capture import FRAMES, read_synthetic
+from netlens.functions.scalars import ipv6_text
 from netlens.streaming.live import LiveDetector, keyed_cooldown, live_query, slid
 
 from . import frames as B
@@ -123,6 +124,29 @@ def test_live_ticks_and_cooldown(spark, tmp_path):
     assert two.tick(14).count() == 2
 
 
+def test_live_state_survives_a_restart(spark, tmp_path):
+    live = LiveDetector(spark, str(tmp_path / "a"))
+    live.push(events(spark, scan()))
+    assert [r.uid for r in live.tick(14).collect()] == ["alert1"]
+    again = LiveDetector(spark, str(tmp_path / "a"))
+    assert again.tick(20).count() == 0  # still cooling down
+    again.push(events(spark, scan(src="t")))
+    third = LiveDetector(spark, str(tmp_path / "a"))
+    assert [(r.uid, r.src) for r in third.tick(21).collect()] == [("alert4", "t")]
+
+
+def test_ipv6_text(spark):
+    import ipaddress
+    import random
+
+    r = random.Random(6)
+    raw = [bytes(16), b"\0" * 15 + b"\1", b"\1" + bytes(15), b"\0" * 10 + b"\xff\xff\1\2\3\4"]
+    raw += [b"".join(r.choice((b"\0\0", b"\0\0", b"\0\7", b"\x12\x30")) for _ in range(8)) for _ in range(300)]
+    df = spark.createDataFrame([(bytearray(x),) for x in raw] + [(bytearray(b"abc"),), (None,)], "raw binary")
+    got = [x.t for x in df.select(ipv6_text(F.col("raw")).alias("t")).collect()]
+    assert got == [str(ipaddress.IPv6Address(x)) for x in raw] + [None, None]
+
+
 def test_live_window_slides(spark, tmp_path):
     live = LiveDetector(spark, str(tmp_path / "a"))
     live.push(events(spark, scan() + [{"event": "heartbeat", "ts": 1000.0}]))
