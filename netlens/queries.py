@@ -328,3 +328,6 @@ def frame_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = adapted(spark, sf_dir).groupBy((F.floor(F.col("ts_us") / HOUR) * HOUR).alias("us")).agg(F.count("*").alias("n"))
     total = hours.select("us", F.sum("n").over(Window.orderBy("us")).alias("frames"), (F.col("us") / 1e6).alias("ts"))
     return rate(total).select("us", "frames", "pps")
+
+
+from . import parser_queries  # noqa: E402, F401  registers its queries here
