@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from .functions.scalars import endpoint
 
+# Headers and line formats of the views, here and in the functions below.
 FLOWS = "ts            proto state  reason  src -> dst                                  a->b         b->a         dur"
 ALERTS = "ts            severity  name            src -> dst            message"
 

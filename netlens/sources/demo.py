@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ..schema import envelope
 
+# Times, addresses, counts and names of the stream, here and in _rows.
 START = 1_770_000_000.0
 
 
@@ -26,7 +27,7 @@ def _dns(ts: float, src: str, txid: int, query: str, qtype: int) -> dict:
 def _rows() -> list[dict]:
     client, attacker, target = "192.0.2.10", "192.0.2.66", "198.51.100.7"
     rows = []
-    for i, at in enumerate((0, 7, 18, 26, 41, 55)):  # uneven, or it would look like a beacon
+    for i, at in enumerate((0, 7, 18, 26, 41, 55)):  # fixed values; no two steps are alike, so the beacon rule stays silent
         rows.append(_dns(START + at, client, 0x1000 + i, "example.com.", 1))
         rows.append(_conn(START + at + 1, client, target, (49152 + i, 80), "SF", "fin", 2.0, (10, 1200, 8, 64000)))
     rows += [_conn(START + 100 + i, attacker, target, (40000 + i, 1000 + i), "S0", "rst", 0.5, (1, 60, 1, 60)) for i in range(15)]
