@@ -7,9 +7,9 @@ with ticks, flows end only at those times, as a running sensor would end them.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,37 +44,38 @@ def fold_flows(rows: DataFrame) -> DataFrame:
 def _cut(rows: DataFrame, ticks: list[int], idle: int, active: int) -> DataFrame:
     """``rows`` with ``part``, a number that grows where a tick ended the key's flow, and the reason so far.
 
-    The rows of a key are sorted by arrival and streamed; a task holds one open flow.
-    ``tick_no``: how many ticks came before the row.
+    The rows of a key are sorted by arrival and streamed; a task holds one open flow. A row's tick
+    number is how many ticks came before it or an earlier row of its key: clocks only go forward in
+    arrival order. The tick that ends a flow is found by bisection, so the number of ticks costs nothing.
     """
-    at = np.array(ticks, np.int64)
-
-    def ended(flow: dict, tick: int) -> str | None:
-        now = int(at[tick])
-        if flow["rst"]:
-            return "rst"
-        if flow["fin"]:
-            return "fin"
-        if now - flow["last"] >= idle:
-            return "idle"
-        return "active" if now - flow["first"] >= active else None
+    at = sorted(ticks)
+
+    def end(flow: dict, tick: int) -> tuple[int, str]:
+        """The first tick from ``tick`` on at which the flow ends, and why; beyond the last tick with the input."""
+        if flow["rst"] or flow["fin"]:
+            no, why = tick, "rst" if flow["rst"] else "fin"
+        else:
+            no = max(tick, bisect_left(at, min(flow["last"] + idle, flow["first"] + active)))
+            why = "idle" if no < len(at) and at[no] - flow["last"] >= idle else "active"
+        return (no, why) if no < len(at) else (len(at), "eof")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, flow, part = None, None, 0
+        key, flow, part, tick = None, None, 0, 0
         for batch in batches:
             out_part, ends = [], []
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "us", "tick_no", "tcp_flags")]
-            for k, us, tick, flags in zip(*columns, strict=True):
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "us", "tcp_flags")]
+            for k, us, flags in zip(*columns, strict=True):
                 if k != key:
-                    key, flow, part = k, None, 0
-                if flow and any(ended(flow, t) for t in range(flow["tick"], tick)):
+                    key, flow, part, tick = k, None, 0, 0
+                now = max(tick, bisect_right(at, us))
+                if flow and end(flow, tick)[0] < now:
                     flow, part = None, part + 1
-                flow = flow or {"first": us, "last": us, "rst": False, "fin": False}
-                flow["tick"], flow["last"] = tick, max(flow["last"], us)
+                flow, tick = flow or {"first": us, "last": us, "rst": False, "fin": False}, now
+                flow["last"] = max(flow["last"], us)
                 flow["rst"] |= bool((flags or 0) & RST)
                 flow["fin"] |= bool((flags or 0) & FIN)
                 out_part.append(part)
-                ends.append(next((r for t in range(tick, len(at)) if (r := ended(flow, t))), "eof"))
+                ends.append(end(flow, tick)[1])
             yield batch.append_column("part", pa.array(out_part, pa.int64())).append_column("reason", pa.array(ends, pa.string()))
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "frame_no")
@@ -87,12 +88,9 @@ def flows_with_ticks(rows: DataFrame, ticks: list[float], idle: float = 60.0, ac
     A frame lies after every tick whose time is at or before its own; ticks are in seconds.
     """
     us = sorted(round(t * 1e6) for t in ticks)
-    marks = F.array(*[F.lit(t) for t in us]).cast("array<long>")
     have = rows.where("version is not null").withColumn("us", F.unix_micros("ts"))
-    have = have.withColumn("tick_no", F.size(F.filter(marks, lambda t: t <= F.col("us")))).withColumn("key", F.to_json(F.struct("proto_no", F.col("a.ip"), F.col("a.port"), F.col("b.ip").alias("ip2"), F.col("b.port").alias("port2"))))
-    # clocks only go forward in arrival order
-    have = have.withColumn("tick_no", F.max("tick_no").over(Window.partitionBy("key").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)))
-    small = have.select("key", "frame_no", "us", "tick_no", "tcp_flags", "wire_len", "forward", "version", "ts", *KEY)
+    have = have.withColumn("key", F.to_json(F.struct("proto_no", F.col("a.ip"), F.col("a.port"), F.col("b.ip").alias("ip2"), F.col("b.port").alias("port2"))))
+    small = have.select("key", "frame_no", "us", "tcp_flags", "wire_len", "forward", "version", "ts", *KEY)
     small = small.withColumn("a", F.struct("a.v", "a.ip", "a.port")).withColumn("b", F.struct("b.v", "b.ip", "b.port"))
     cut = _cut(small, us, round(idle * 1e6), round(active * 1e6))
     reason = cut.groupBy(*KEY, "part").agg(F.max_by("reason", "frame_no").alias("end_reason"))
