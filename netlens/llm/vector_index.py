@@ -92,9 +92,9 @@ class Block:
             at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == probes)]
         else:
             at = np.flatnonzero(np.bitwise_count(values ^ value) <= radius)
-        if len(values) == len(order):  # one row a value
-            return order[at]
-        return np.concatenate([order[ends[i] : ends[i + 1]] for i in at]) if len(at) else at
+        counts = ends[at + 1] - ends[at]
+        places = np.repeat(ends[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return order[places]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows within the Hamming radius."""
