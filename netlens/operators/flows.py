@@ -36,13 +36,18 @@ def _folded(rows: DataFrame, *extra: str) -> DataFrame:
     )
 
 
+def open_flows(rows: DataFrame) -> DataFrame:
+    """One flow a key, without an end."""
+    return _folded(rows)
+
+
 def fold_flows(rows: DataFrame) -> DataFrame:
     """One flow a key over the whole input; all end with it (reason eof)."""
     return _folded(rows).withColumn("end_reason", F.lit("eof"))
 
 
 def _cut(rows: DataFrame, ticks: list[int], idle: int, active: int) -> DataFrame:
-    """``rows`` with ``part``, a number that grows where a tick ended the key's flow, and the reason so far.
+    """``rows`` with ``part``, a number that grows where a tick ended the key's flow, and the reason and end so far.
 
     The rows of a key are sorted by arrival and streamed; a task holds one open flow. A row's tick
     number is how many ticks came before it or an earlier row of its key: clocks only go forward in
@@ -62,7 +67,7 @@ def _cut(rows: DataFrame, ticks: list[int], idle: int, active: int) -> DataFrame
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, flow, part, tick = None, None, 0, 0
         for batch in batches:
-            out_part, ends = [], []
+            out_part, ends, when = [], [], []
             columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "us", "tcp_flags")]
             for k, us, flags in zip(*columns, strict=True):
                 if k != key:
@@ -75,17 +80,24 @@ def _cut(rows: DataFrame, ticks: list[int], idle: int, active: int) -> DataFrame
                 flow["rst"] |= bool((flags or 0) & RST)
                 flow["fin"] |= bool((flags or 0) & FIN)
                 out_part.append(part)
-                ends.append(end(flow, tick)[1])
-            yield batch.append_column("part", pa.array(out_part, pa.int64())).append_column("reason", pa.array(ends, pa.string()))
+                no, why = end(flow, tick)
+                ends.append(why)
+                when.append(at[no] if no < len(at) else None)
+            more = {"part": pa.array(out_part, pa.int64()), "reason": pa.array(ends, pa.string()), "end_us": pa.array(when, pa.int64())}
+            for name, column in more.items():
+                batch = batch.append_column(name, column)
+            yield batch
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "frame_no")
-    return dealt.mapInArrow(cut, T.StructType([*rows.schema.fields, T.StructField("part", T.LongType()), T.StructField("reason", T.StringType())]))
+    added = [T.StructField("part", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("end_us", T.LongType())]
+    return dealt.mapInArrow(cut, T.StructType([*rows.schema.fields, *added]))
 
 
 def flows_with_ticks(rows: DataFrame, ticks: list[float], idle: float = 60.0, active: float = 3600.0) -> DataFrame:
     """Flows that end at the first tick after a reset, a FIN, ``idle`` seconds of silence or ``active`` seconds of life.
 
-    A frame lies after every tick whose time is at or before its own; ticks are in seconds.
+    A frame lies after every tick whose time is at or before its own; ticks are in seconds. ``end_us``
+    is the tick that ended a flow, null for the end of input.
     """
     us = sorted(round(t * 1e6) for t in ticks)
     have = rows.where("version is not null").withColumn("us", F.unix_micros("ts"))
@@ -93,10 +105,26 @@ def flows_with_ticks(rows: DataFrame, ticks: list[float], idle: float = 60.0, ac
     small = have.select("key", "frame_no", "us", "tcp_flags", "wire_len", "forward", "version", "ts", *KEY)
     small = small.withColumn("a", F.struct("a.v", "a.ip", "a.port")).withColumn("b", F.struct("b.v", "b.ip", "b.port"))
     cut = _cut(small, us, round(idle * 1e6), round(active * 1e6))
-    reason = cut.groupBy(*KEY, "part").agg(F.max_by("reason", "frame_no").alias("end_reason"))
+    reason = cut.groupBy(*KEY, "part").agg(F.max_by("reason", "frame_no").alias("end_reason"), F.max_by("end_us", "frame_no").alias("end_us"))
     return _folded(cut, "part").join(reason, [*KEY, "part"]).drop("part")
 
 
+def merged_flows(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Flows that were open and those of newer frames as one flow a key; neither has an end yet."""
+    both = old.unionByName(new)
+    count = ["pkts_a_to_b", "bytes_a_to_b", "pkts_b_to_a", "bytes_b_to_a"]
+    return both.groupBy(*KEY).agg(
+        F.min_by("first", "frame_no").alias("first"), F.max("last").alias("last"), F.min("frame_no").alias("frame_no"),
+        *[F.sum(c).alias(c) for c in count], *[F.bool_or(c).alias(c) for c in ("syn", "fin", "rst")],
+    )
+
+
+def end_at(now: Column, idle: float = 60.0, active: float = 3600.0) -> Column:
+    """Why a flow ends at the tick ``now`` (a timestamp), null where it goes on."""
+    since = lambda c: F.unix_micros(now) - F.unix_micros(F.col(c))
+    return F.when(F.col("rst"), "rst").when(F.col("fin"), "fin").when(since("last") >= round(idle * 1e6), "idle").when(since("first") >= round(active * 1e6), "active")
+
+
 def conn_events(flows: DataFrame) -> DataFrame:
     """Flows as conn events; a is the source."""
     port = lambda side: F.when(F.col(f"{side}.port") >= 0, F.col(f"{side}.port"))
@@ -117,13 +145,11 @@ def routed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("route", F.when(F.col("payload").isNotNull(), route))
 
 
-def events_of_frames(frames: DataFrame, ticks: list[float] | None = None, idle: float = 60.0, active: float = 3600.0, heartbeat: bool = False) -> DataFrame:
-    """All events of a capture in a fixed order: per frame, then flows by start and frame number.
+def frame_events(rows: DataFrame) -> DataFrame:
+    """The events that routed rows carry themselves, at most one a frame; ``seq`` is their order.
 
-    Parsers run only on the frames routed to them. With ``heartbeat`` a last event counts
-    frames, bytes on the wire, flows and events, itself included.
+    Parsers run only on the frames routed to them.
     """
-    rows = routed(layers(frames))
     common = ["frame_no", unix_seconds(F.col("ts")).alias("ts"), "src", "dst", "src_port", "dst_port"]
 
     def parsed(route: str, parser) -> DataFrame:
@@ -135,18 +161,82 @@ def events_of_frames(frames: DataFrame, ticks: list[float] | None = None, idle:
         "http": parsed("http", payloads.http),
         "ssl": parsed("tls", payloads.tls).drop("cipher_suites", "extension_types"),
         "arp": rows.where("arp is not null").select("frame_no", unix_seconds(F.col("ts")).alias("ts"), "arp.*"),
-        "conn": conn_events(fold_flows(rows) if ticks is None else flows_with_ticks(rows, ticks, idle, active)),
     }
     out = None
     for kind, part in parts.items():
-        own = as_envelope(part.withColumn("seq", F.struct(F.lit(kind == "conn").alias("late"), F.col("frame_no"), F.lit(kind).alias("kind"))), kind)
+        own = _placed(part, kind)
         out = own if out is None else out.unionByName(own)
-    # uids are numbered over the whole capture, as one sensor numbers them
-    number = F.row_number().over(Window.orderBy("seq")).cast("long")
-    out = out.withColumn("seq", number).withColumn("uid", F.concat("event", "seq"))
+    return out
+
+
+def _placed(part: DataFrame, kind: str) -> DataFrame:
+    place = F.struct(F.lit(kind == "conn").alias("late"), F.col("frame_no"), F.lit(kind).alias("kind"))
+    return as_envelope(part.withColumn("seq", place), kind)
+
+
+def flow_events(flows: DataFrame) -> DataFrame:
+    """Ended flows as events that come after those of frames."""
+    return _placed(conn_events(flows), "conn")
+
+
+def numbered(events: DataFrame, after: int = 0, slot: int = 1 << 16) -> DataFrame:
+    """``events`` with ``seq`` and uids as one sequence, which goes on from ``after``.
+
+    A slot of frame numbers is one sort; the slots before it are counted, a row each.
+    """
+    dealt = events.withColumn("__slot", F.struct("seq.late", F.floor(F.col("seq.frame_no") / slot).alias("no")))
+    counts = dealt.groupBy("__slot").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__slot", (before + F.lit(after)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__slot").orderBy("seq"))
+    out = dealt.withColumn("__place", place).join(starts, "__slot").withColumn("seq", (F.col("__start") + F.col("__place")).cast("long"))
+    return out.withColumn("uid", F.concat("event", "seq")).drop("__slot", "__place", "__start")
+
+
+def events_of_frames(frames: DataFrame, ticks: list[float] | None = None, idle: float = 60.0, active: float = 3600.0, heartbeat: bool = False) -> DataFrame:
+    """All events of a capture in a fixed order: per frame, then flows by start and frame number.
+
+    With ``heartbeat`` a last event counts frames, bytes on the wire, flows and events, itself
+    included; ``heartbeats`` gives one a tick.
+    """
+    rows = routed(layers(frames))
+    flows = fold_flows(rows) if ticks is None else flows_with_ticks(rows, ticks, idle, active)
+    out = numbered(frame_events(rows).unionByName(flow_events(flows)))
     if not heartbeat:
         return out
     totals = frames.agg(F.coalesce(F.max(unix_seconds(F.col("ts"))), F.lit(0.0)).alias("ts"), F.count("*").alias("total_frames"), F.coalesce(F.sum(F.col("wire_len").cast("long")), F.lit(0)).alias("bytes"))
-    counted = out.agg(F.count_if(F.col("event") == "conn").alias("active_flows"), (F.count("*") + 1).alias("events_emitted"))
-    beat = totals.crossJoin(counted).withColumn("seq", F.col("events_emitted"))  # one row each
+    counted = out.agg((F.count("*") + 1).alias("events_emitted"))
+    beat = totals.crossJoin(counted).withColumn("active_flows", F.lit(0)).withColumn("seq", F.col("events_emitted"))  # one row each
     return out.unionByName(as_envelope(beat, "heartbeat"))
+
+
+def heartbeats(rows: DataFrame, every: float, idle: float = 60.0, active: float = 3600.0, parsed: bool = True) -> DataFrame:
+    """A heartbeat at each multiple of ``every`` seconds after a frame, up to the first one after the last.
+
+    It counts what came before the tick: frames, bytes, open flows once the tick has ended some,
+    and events, earlier heartbeats and itself included (with ``parsed`` those of frames too).
+    What happens between two ticks is summed first, so one row a tick is ordered globally.
+    """
+    width = round(every * 1e6)
+    tick = lambda us: ((us - F.pmod(us, F.lit(width))) / width).cast("long") + 1
+    ends = rows.agg(F.min(tick(F.unix_micros("ts"))), F.max(tick(F.unix_micros("ts")))).first()
+    first, last = ends if ends[0] is not None else (1, 0)
+    flows = flows_with_ticks(rows, [k * width / 1e6 for k in range(first, last + 1)], idle, active)
+    none = {c: F.lit(0).cast("long") for c in ("frames", "wire", "flows", "events")}
+    delta = lambda df, at, **c: df.select(at.alias("tick"), *[(none | c)[n].alias(n) for n in none])
+    one = F.lit(1).cast("long")
+    parts = [
+        delta(rows, tick(F.unix_micros("ts")), frames=one, wire=F.col("wire_len").cast("long")),
+        delta(flows, tick(F.unix_micros("first")), flows=one),
+        delta(flows.where("end_us is not null"), F.round(F.col("end_us") / width).cast("long"), flows=-one, events=one),
+        delta(rows.sparkSession.range(first, last + 1), F.col("id"), events=one),
+    ]
+    if parsed:
+        parts.append(delta(frame_events(routed(rows)), tick(F.round(F.col("ts") * 1e6).cast("long")), events=one))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    sums = both.groupBy("tick").agg(*[F.sum(c).alias(c) for c in none])
+    upto = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)  # one row a tick
+    named = dict(zip(none, ("total_frames", "bytes", "active_flows", "events_emitted"), strict=True))
+    return sums.select((F.col("tick") * F.lit(width) / 1e6).alias("ts"), *[F.sum(c).over(upto).alias(n) for c, n in named.items()])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.folds import greedy_gaps
@@ -25,6 +27,32 @@ def inventory(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
     )
 
 
+_DEVICES = "sender_mac string, first_seen double, last_seen double, last_ip string"
+
+
+def save_inventory(devices: DataFrame, path: str) -> None:
+    """Writes the devices beside ``path``, then puts them in its place, so that a lost job leaves the old ones."""
+    spark = devices.sparkSession
+    devices.write.mode("overwrite").json(f"{path}.tmp")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(fs_path(path), True)
+    fs.rename(fs_path(f"{path}.tmp"), fs_path(path))
+
+
+def load_inventory(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
+    """The saved devices; none if nothing was saved, none and the error if they cannot be read."""
+    none = spark.createDataFrame([], _DEVICES)
+    try:
+        devices = spark.read.schema(_DEVICES).option("mode", "FAILFAST").json(path)
+        devices.write.format("noop").mode("overwrite").save()
+    except AnalysisException:  # no such folder
+        return none, None
+    except (PySparkException, Py4JJavaError) as e:  # a failed write comes as the latter
+        return none, f"{path}: {str(e).splitlines()[0]}"
+    return devices, None
+
+
 def new_devices(events: DataFrame, gap: float = 60.0, known: DataFrame | None = None, last_alert: float | None = None) -> DataFrame:
     """An alert for each MAC's first claim, unless one came less than ``gap`` before; all are learned."""
     first = events.where(F.col("event") == "arp").groupBy("sender_mac").agg(F.min_by(F.struct("seq", "ts", "src", "uid"), "seq").alias("f")).select("sender_mac", "f.*")
@@ -49,4 +77,4 @@ def blind_alerts(beats: DataFrame, blind: float = 600.0, again: float = 1800.0)
     quiet = grown.withColumn("since", F.max("moved").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("ts") - F.col("since") >= blind)
     kept = greedy_gaps(quiet.withColumn("ts_us", micros(F.col("ts"))), [], "ts_us", int(again * 1e6), order="ts_us")
     seconds = (F.col("ts") - F.col("since")).cast("long")
-    return kept.select(F.lit("").alias("uid"), "ts", F.lit("sensor-blind").alias("name"), F.lit("high").alias("severity"), F.concat(F.lit("no frames for "), seconds, F.lit("s")).alias("message"))
+    return kept.select(F.lit("").alias("uid"), "ts", F.lit("sensor-blind").alias("name"), F.lit("high").alias("severity"), F.lit("sensor").alias("src"), F.concat(F.lit("zero frames for "), seconds, F.lit("s")).alias("message"))

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .functions import payloads
 from .operators import inventory as I
 from .operators import store as Q
-from .operators.flows import routed
+from .operators.flows import flows_with_ticks, heartbeats, routed
 from .operators.frames import layers
-from .queries import DAY, HOUR, E, _claims, _FLOW_COLUMNS, _flow_view, _stored, adapted, query, table
+from .queries import _X, DAY, HOUR, E, _claims, _FLOW_COLUMNS, _flow_view, _stored, adapted, frames_of_lineitem, query, table
 from .schema import as_envelope
 from .sources.ndjson import read_events
 from .sources.sinks import write_events
@@ -131,6 +131,36 @@ def blind_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.blind_alerts(beats, blind=6 * 3600.0, again=12 * 3600.0).select(F.round(F.col("ts") * 1e6).cast("long").alias("end_us"), "name", "severity")
 
 
+# Flows that end at ticks of 10 s (idle after 60 s): a flow can only end between two slots of ticks, so what a key
+# does in one slot is one flow, and it ended before the next slot if it had a FIN or RST or a tick saw it idle.
+_CUT = f"""{_X}, k AS (SELECT *, CASE WHEN fw THEN sip ELSE dip END AS src, CASE WHEN fw THEN sp ELSE dp END AS src_port, CASE WHEN fw THEN dip ELSE sip END AS dst, CASE WHEN fw THEN dp ELSE sp END AS dst_port FROM y),
+t AS (SELECT src, src_port, dst, dst_port, no // 10000 AS slot, MIN(no) AS first, MAX(no) AS last, COUNT(*) AS pkts, bool_or(f = 4) AS rst, bool_or(f = 3) AS fin FROM k GROUP BY ALL),
+u AS (SELECT *, lag(rst OR fin OR ((last + 69999) // 10000) * 10000 <= nxt, 1, TRUE) OVER w AS new FROM (SELECT *, lead(first) OVER w0 AS nxt FROM t WINDOW w0 AS (PARTITION BY src, src_port, dst, dst_port ORDER BY slot)) WINDOW w AS (PARTITION BY src, src_port, dst, dst_port ORDER BY slot)),
+v AS (SELECT *, SUM(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY src, src_port, dst, dst_port ORDER BY slot ROWS UNBOUNDED PRECEDING) AS part FROM u),
+z AS (SELECT src, src_port, dst, dst_port, part, MIN(first) AS first, MAX(last) AS last, SUM(pkts) AS pkts, bool_or(rst) AS rst, bool_or(fin) AS fin, (SELECT MAX(no) // 10000 + 1 FROM x) AS final FROM v GROUP BY ALL),
+f AS (SELECT *, CASE WHEN rst OR fin THEN last // 10000 + 1 ELSE (last + 69999) // 10000 END AS tick FROM z)"""
+
+
+@query(f"""WITH {_CUT} SELECT CAST(src AS VARCHAR) AS src, CAST(src_port AS INT) AS src_port, dst, CAST(dst_port AS INT) AS dst_port, CAST(first * 1000 AS BIGINT) AS first_us, CAST(last * 1000 AS BIGINT) AS last_us, CAST(pkts AS BIGINT) AS pkts,
+CASE WHEN tick > final THEN 'eof' WHEN rst THEN 'rst' WHEN fin THEN 'fin' ELSE 'idle' END AS end_reason, CASE WHEN tick <= final THEN CAST(tick * 10000000 AS BIGINT) END AS end_us FROM f""")
+def tick_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = layers(frames_of_lineitem(spark, sf_dir))
+    last = rows.agg(F.max(F.unix_micros("ts"))).first()[0]
+    flows = flows_with_ticks(rows, [10.0 * k for k in range(1, last // 10_000_000 + 2)], idle=60, active=1e9)
+    return flows.select(
+        F.col("a.ip").alias("src"), F.col("a.port").alias("src_port"), F.col("b.ip").alias("dst"), F.col("b.port").alias("dst_port"), F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"),
+        (F.col("pkts_a_to_b") + F.col("pkts_b_to_a")).alias("pkts"), "end_reason", "end_us",
+    )
+
+
+@query(f"""WITH {_CUT}, d AS (SELECT no // 10000 + 1 AS tick, 1 AS frames, len AS bytes, 0 AS flows, 0 AS events FROM x UNION ALL SELECT first // 10000 + 1, 0, 0, 1, 0 FROM f UNION ALL SELECT tick, 0, 0, -1, 1 FROM f WHERE tick <= final
+UNION ALL SELECT unnest(range(MIN(no) // 10000 + 1, MAX(no) // 10000 + 2)), 0, 0, 0, 1 FROM x)
+SELECT tick * 10.0::DOUBLE AS ts, CAST(SUM(SUM(frames)) OVER w AS BIGINT) AS total_frames, CAST(SUM(SUM(bytes)) OVER w AS BIGINT) AS bytes, CAST(SUM(SUM(flows)) OVER w AS BIGINT) AS active_flows, CAST(SUM(SUM(events)) OVER w AS BIGINT) AS events_emitted
+FROM d GROUP BY tick WINDOW w AS (ORDER BY tick ROWS UNBOUNDED PRECEDING)""")
+def tick_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heartbeats(layers(frames_of_lineitem(spark, sf_dir)), every=10, idle=60, active=1e9)
+
+
 def _folder(spark: SparkSession) -> str:
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if at is None and not spark.sparkContext.master.startswith("local"):

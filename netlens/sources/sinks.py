@@ -2,28 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import as_envelope, to_json
 
 
-def write_events(events: DataFrame, path: str, rows_a_file: int = 50_000) -> None:
+def _files(spark: SparkSession, path: str):
+    """The file system of a folder, its path class and the states of its files (driver-side, a row a file)."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs_path, list(fs.listStatus(fs_path(path))) if fs.exists(fs_path(path)) else []
+
+
+def write_events(events: DataFrame, path: str, rows_a_file: int = 50_000, prefix: str = "part") -> None:
     """Events in order of ``seq`` as ``*.ndjson`` files of at most so many rows.
 
     Files hold ranges of seq and their names ascend with it, so that reading by file name gives
-    the order back. Rows stand for bytes: a row is some hundred bytes.
+    the order back. Rows stand for bytes: a row is some hundred bytes. Files of an own ``prefix``
+    are replaced, so that a write can be done again; names begin with it.
     """
     spark = events.sparkSession
     ordered = to_json(events.repartitionByRange("seq").sortWithinPartitions("seq")).select("value")
+    if prefix != "part":
+        fs, fs_path, old = _files(spark, path)
+        for status in old:
+            if status.getPath().getName().startswith(f"{prefix}-"):
+                fs.delete(status.getPath(), False)
     ordered.write.mode("append").option("maxRecordsPerFile", rows_a_file).text(path)
     # Spark names text files .txt; the readers of event folders take .ndjson only
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.listStatus(fs_path(path)):
+    fs, fs_path, written = _files(spark, path)
+    for status in written:
         name = status.getPath().getName()
         if name.startswith("part-") and name.endswith(".txt"):
-            fs.rename(status.getPath(), fs_path(f"{path}/{name[:-4]}.ndjson"))
+            fs.rename(status.getPath(), fs_path(f"{path}/{prefix}{name[4:-4]}.ndjson"))
+
+
+def sweep(spark: SparkSession, path: str, prefix: str, now: float, max_age: float | None = None, max_bytes: int | None = None) -> int:
+    """Deletes what ``retention_victims`` names, the newest file excepted; returns how many."""
+    fs, _, states = _files(spark, path)
+    own = {s.getPath().getName(): s for s in states if s.getPath().getName().startswith(prefix) and s.getPath().getName().endswith(".ndjson")}
+    if not own or (max_age is None and max_bytes is None):
+        return 0
+    files = spark.createDataFrame([(n, s.getModificationTime() / 1000, s.getLen()) for n, s in own.items()], "name string, modified double, size long")
+    victims = [r.name for r in retention_victims(files, prefix, now, max_age, max_bytes, max(own)).collect()]
+    for name in victims:
+        fs.delete(own[name].getPath(), False)
+    return len(victims)
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:

@@ -23,6 +23,7 @@ from ..operators.detections import RuleEngine, timed
 from ..plans.folds import cooldown
 
 WINDOW_ROWS = 10_000
+KEPT = 8  # versions of state tables, so that alerts just returned can still be read
 _MANIFEST = "version long, rows string, fired string, next_uid long"
 
 
@@ -53,6 +54,18 @@ def slid(rows: DataFrame, window: float, most: int = WINDOW_ROWS) -> DataFrame:
     return rows.coalesce(1).sortWithinPartitions("seq").mapInArrow(kept, rows.schema)
 
 
+def forget(spark: SparkSession, state: str, below: int, needed: tuple) -> None:
+    """Deletes the tables of versions before ``below`` that are not among the needed paths."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(state).getFileSystem(spark._jsc.hadoopConfiguration())
+    held = {str(p).rsplit("/", 1)[-1] for p in needed}
+    for status in fs.listStatus(fs_path(state)):
+        name = status.getPath().getName()
+        version = name.rsplit("-", 1)[-1]
+        if version.isdigit() and int(version) < below and name not in held:
+            fs.delete(status.getPath(), True)
+
+
 class LiveDetector:
     """A sliding window of events, rules at ticks, and a cooldown for each (name, src)."""
 
@@ -71,12 +84,20 @@ class LiveDetector:
         except AnalysisException:  # no folder yet
             told = None
         if told:
-            self.version, self._rows, self._fired, self.engine.next = told.version, told.rows, told.fired, told.next_uid
+            self.go_to(*told)
+
+    def place(self) -> tuple[int, str | None, str | None, int]:
+        """What a restart needs: version, tables and next alert number."""
+        return self.version, self._rows, self._fired, self.engine.next
+
+    def go_to(self, version: int, rows: str | None, fired: str | None, next_uid: int) -> None:
+        """Goes on from an earlier ``place``."""
+        self.version, self._rows, self._fired, self.engine.next = version, rows, fired, next_uid
 
     def _told(self) -> None:
-        """Writes what a restart needs, as the last step of a push or tick: one row, so a lost tick leaves the one before."""
-        row = [(self.version, self._rows, self._fired, self.engine.next)]
-        self.spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("append").json(f"{self.state}/manifest")
+        """Writes the place as the last step of a push or tick: one row, so a lost tick leaves the one before."""
+        self.spark.createDataFrame([self.place()], _MANIFEST).coalesce(1).write.mode("append").json(f"{self.state}/manifest")
+        forget(self.spark, self.state, self.version - KEPT, self.place())
 
     def _saved(self, df: DataFrame, name: str) -> str:
         path = f"{self.state}/{name}-{self.version:08d}"
@@ -92,8 +113,8 @@ class LiveDetector:
         self._rows = self._saved(slid(rows, self.window, self.most), "window")
         self._told()
 
-    def tick(self, now: float) -> DataFrame:
-        """The alerts of the window that are not cooling down at time ``now``."""
+    def tick(self, now: float, numbers: bool = False) -> DataFrame:
+        """The alerts of the window that are not cooling down at time ``now`` (with ``no`` if numbers are asked for)."""
         if not self._rows:
             raise ValueError("push events first")
         held = self.engine.run(self.spark.read.parquet(self._rows))
@@ -114,7 +135,7 @@ class LiveDetector:
             now_fired = old.join(now_fired, ["name", "src"], "left_anti").unionByName(now_fired.select(*old.columns))
         self._fired = self._saved(now_fired, "fired")
         self._told()
-        return out.orderBy("no").drop("no")
+        return out.orderBy("no") if numbers else out.orderBy("no").drop("no")
 
 
 def live_query(stream: DataFrame, detector: LiveDetector, emit, checkpoint: str, interval: str | None = None):

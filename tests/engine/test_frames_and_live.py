@@ -7,7 +7,11 @@ from netlens.functions.payloads import dns_row, http_row, tls_row
 from netlens.operators.detections import ArpSpoof, RuleEngine
 from netlens.operators.flows import conn_events, events_of_frames, flows_with_ticks, fold_flows
 from netlens.operators.frames import layers, link_counters
+from netlens.operators.inventory import load_inventory, save_inventory
 from netlens.sources.capture import FRAMES, read_synthetic
+from netlens.sources.ndjson import read_events
+from netlens.sources.sinks import sweep
+from netlens.streaming.sensor import Sensor
 from netlens.functions.scalars import ipv6_text
 from netlens.streaming.live import LiveDetector, keyed_cooldown, live_query, slid
 
@@ -111,6 +115,64 @@ def test_synthetic_frames_play_the_drill(spark):
     assert [r.name for r in RuleEngine([RuleEngine().rules[0]]).alerts(out).where("src = '192.0.2.66'").collect()] == ["port-scan"]
 
 
+def test_sensor_ticks_equal_one_run(spark, tmp_path):
+    """What a sensor writes at its ticks, a restart between them, equals the flows of one run with these ticks."""
+    a, b = "10.0.0.1", "10.0.0.2"
+    rows = [(i, syn("192.0.2.66", "198.51.100.7", 40000 + i, 1000 + i)) for i in range(15)]
+    rows += [(3, B.arp(2, "aa:aa:aa:aa:aa:01", "10.0.0.5", "00:00:00:00:00:00", "10.0.0.1"))]
+    rows += [(20, syn(a, b, 1, 2)), (40, syn(b, a, 2, 1, 4)), (100, syn(a, b, 1, 2, 0x10)), (101, syn(a, b, 9, 9, 0x10))]
+    rows.sort(key=lambda r: r[0])
+    ticks, state, out = [30], str(tmp_path / "state"), str(tmp_path / "out")
+    alerts, before = [], 0
+    for t in ticks:  # a new sensor each time: it goes on from the state folder
+        own = [r for r in rows if before <= r[0] < t]
+        alerts += Sensor(spark, state, out).tick(capture(spark, own), t).collect()
+        before = t
+    last = Sensor(spark, state, out)
+    own = [r for r in rows if r[0] >= before]
+    alerts += last.tick(capture(spark, own), 102).collect() + last.finish(110).collect()
+    assert [r.name for r in alerts] == ["new-device", "port-scan"]
+    got = read_events(spark, out).persist()
+    whole = conn_events(flows_with_ticks(layers(capture(spark, rows)), [*ticks, 102]))
+    key = ["ts", "duration", "end_reason", "conn_state", "src", "src_port", "pkts_a_to_b", "pkts_b_to_a", "bytes_a_to_b"]
+    flows = lambda df: sorted(map(repr, df.select(*key).collect()))
+    assert flows(got.where("event = 'conn'")) == flows(whole)
+    beats = got.where("event = 'heartbeat'").orderBy("ts").collect()
+    assert [(r.ts, r.total_frames, r.active_flows) for r in beats] == [(30, 17, 16), (102, 20, 1)]
+    told = got.where("event <> 'alert'").orderBy("seq").collect()
+    assert all(r.uid == f"{r.event}{i}" for i, r in enumerate(told, 1) if r.event != "heartbeat")
+    assert [r.events_emitted for i, r in enumerate(told, 1) if r.event == "heartbeat"] == [i for i, r in enumerate(told, 1) if r.event == "heartbeat"]
+    (device,) = load_inventory(spark, last.told["devices"])[0].collect()
+    assert (device.sender_mac, device.last_ip) == ("aa:aa:aa:aa:aa:01", "10.0.0.5")
+
+
+def test_sensor_blind_alerts(spark, tmp_path):
+    sensor = Sensor(spark, str(tmp_path / "state"), str(tmp_path / "out"))
+    told = {"last_frame": 10.0, "blind_at": None}
+    got = [(t, df and df.first().message) for t in (609, 610, 700, 2409, 2410) for df in [sensor._blind(told, t * 1.0)]]
+    assert got == [(609, None), (610, "zero frames for 600s"), (700, None), (2409, None), (2410, "zero frames for 2400s")]
+
+
+def test_sweep_leaves_the_newest(spark, tmp_path):
+    for n in ("events-1", "events-2", "events-3", "other-1"):
+        (tmp_path / f"{n}.ndjson").write_text("{}")
+    assert sweep(spark, str(tmp_path), "events", now=4e9) == 0
+    assert sweep(spark, str(tmp_path), "events", now=4e9, max_age=1.0) == 2
+    assert sorted(f.name for f in tmp_path.glob("*.ndjson")) == ["events-3.ndjson", "other-1.ndjson"]
+
+
+def test_inventory_file(spark, tmp_path):
+    assert load_inventory(spark, str(tmp_path / "none"))[0].count() == 0
+    devices = spark.createDataFrame([("m", 1.0, 2.0, "10.0.0.1")], "sender_mac string, first_seen double, last_seen double, last_ip string")
+    for _ in range(2):
+        save_inventory(devices, str(tmp_path / "d"))
+    assert load_inventory(spark, str(tmp_path / "d"))[0].collect() == devices.collect()
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.json").write_text("{nothing\n")
+    got, error = load_inventory(spark, str(tmp_path / "bad"))
+    assert got.count() == 0 and error.startswith(str(tmp_path / "bad"))
+
+
 def scan(n=15, src="s"):
     return [conn(i, port=1000 + i, src=src) for i in range(n)]
 
