@@ -4,8 +4,8 @@ Each key is scored against each shard and goes to the highest score, so one more
 takes rows into itself. Law: ``key``. The rows are written as one Parquet folder a shard.
 
 Defined results: a null text has no bytes and crc32 0; a row with a null key is placed by its
-text instead; repeated keys go to one shard and take neighbouring slots; input columns named
-like an output give way; an empty table gives an empty result.
+text instead; repeated keys go to one shard, those with one text to neighbouring slots; input columns
+named like an output give way; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
         "*",
         rendezvous(F.col("__key"), shards, weights).cast("int").alias("shard"),
         rendezvous(F.col("__key"), shards + 1, weights and [*weights, sum(weights) / len(weights)]).cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64("__key", F.lit("cell")), F.lit(cells)).cast("int").alias("__cell"),
+        F.pmod(F.xxhash64("__key", "text_crc32", F.lit("cell")), F.lit(cells)).cast("int").alias("__cell"),
     )
     in_cell = Window.partitionBy("shard", "__cell").orderBy(F.col(f"`{key}`").asc_nulls_first(), "text_crc32", "size")
     files = written(placed.withColumn("__place", F.row_number().over(in_cell) - 1), "shards", "shard")
