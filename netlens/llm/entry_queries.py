@@ -83,5 +83,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(docs).select("doc_id", "license", F.round("dice", 6).alias("dice"), "first_line", "n_lines")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_whitening import whitening
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening(vectors).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
