@@ -90,5 +90,11 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening(vectors).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}

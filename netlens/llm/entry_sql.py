@@ -64,4 +64,16 @@ m AS (SELECT ub.doc_id, ub.first_line, tb.name, tb.tid, 2 * sum(least(ub.c, tb.c
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, first_line ORDER BY dice DESC, tid) AS k FROM m WHERE dice >= 0.8)
 SELECT doc_id, name AS license, round(CAST(dice AS DOUBLE), 6) AS dice, CAST(first_line AS BIGINT) AS first_line, CAST(1 AS BIGINT) AS n_lines FROM b WHERE k = 1"""
 
-ORACLE_SQL = {"op1_quality_rules": QUALITY, "op9_license_scan": LICENSES, "op10_ngram_join": JACCARD}
+DIVERGENCE = """WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS x FROM documents),
+t AS (SELECT i, lang, source, translate(unnest(regexp_extract_all(x, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT l.lang, coalesce(k.v, 0) AS v, coalesce(k.n, 0) AS n FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang) k USING (lang)),
+g AS (SELECT x.lang, x.source, coalesce(y.n, 0) AS n, v.v, v.n AS ln FROM (SELECT DISTINCT lang, source FROM d) x JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) y USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (g.n + 5 * g.v)::HUGEINT AS p, 1 + (1000000000 * (k.n + 5)::HUGEINT) // (g.ln + 5 * g.v)::HUGEINT AS q FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50"""
+
+ORACLE_SQL = {"op12_source_divergence": DIVERGENCE, "op1_quality_rules": QUALITY, "op9_license_scan": LICENSES, "op10_ngram_join": JACCARD}
