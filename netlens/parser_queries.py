@@ -5,8 +5,6 @@ Frames and payloads are real bytes made of table rows; the SQL states what they
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from .operators import inventory as I
 from .operators import store as Q
 from .operators.flows import flows_with_ticks, heartbeats, routed
 from .operators.frames import layers
+from .plans.chains import shared_folder
 from .queries import _X, DAY, HOUR, E, _claims, _FLOW_COLUMNS, _flow_view, _stored, adapted, frames_of_lineitem, query, table
 from .schema import as_envelope
 from .sources.ndjson import read_events
@@ -162,10 +161,7 @@ def tick_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if at is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(at or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/lines-{spark.sparkContext.applicationId}-{next(_numbers)}"
+    return f"{shared_folder(spark)}/lines-{spark.sparkContext.applicationId}-{next(_numbers)}"
 
 
 _numbers = iter(range(1 << 30))
@@ -176,5 +172,5 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events written as JSON lines and read again by the strict reader, in file and line order."""
     path = _folder(spark)
     rows = as_envelope(_stored(spark, sf_dir).where("event = 'conn'"), "conn")
-    write_events(rows, path, rows_a_file=4000)
+    write_events(rows, path, max_bytes=1 << 20)
     return read_events(spark, path).select("seq", "uid", F.round(F.col("ts") * 1e6).cast("long").alias("us"), "src", "dst_port", "conn_state", "pkts_a_to_b")

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .chains import NONE, chain, gaps, in_order
 
 
 def _greedy(times: np.ndarray, gap: int, last: int | None) -> tuple[np.ndarray, int | None]:
@@ -22,9 +23,11 @@ def greedy_gaps(rows: DataFrame, keys: list[str], time: str, gap: int, order: st
     """The rows of each key that come ``gap`` or more after the last kept one, in the given order.
 
     Spark deals and sorts the rows by key; a task streams them and holds only the last kept
-    time, so a hot key costs no memory. Without keys the fold is one sequence by nature.
-    ``start``: a time kept before the first row.
+    time, so a hot key costs no memory. Without keys the one sequence is cut in ranges whose
+    effects are composed (``chains``). ``start``: a time kept before the first row.
     """
+    if not keys:
+        return chain(in_order(rows, order), gaps(time, gap), NONE if start is None else start).drop("state")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last = None, start
@@ -32,7 +35,7 @@ def greedy_gaps(rows: DataFrame, keys: list[str], time: str, gap: int, order: st
             if not batch.num_rows:
                 continue
             times = batch.column(batch.schema.get_field_index(time)).to_numpy(zero_copy_only=False)
-            names = list(zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys], strict=True)) if keys else [()] * batch.num_rows
+            names = list(zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys], strict=True))
             starts = [0] + [i for i in range(1, len(names)) if names[i] != names[i - 1]] + [len(names)]
             mask = []
             for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -42,8 +45,7 @@ def greedy_gaps(rows: DataFrame, keys: list[str], time: str, gap: int, order: st
                 mask.append(own)
             yield batch.filter(pa.array(np.concatenate(mask)))
 
-    dealt = rows.repartition(*keys) if keys else rows.coalesce(1)
-    return dealt.sortWithinPartitions(*keys, order).mapInArrow(kept, rows.schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(kept, rows.schema)
 
 
 def cooldown(alerts: DataFrame, gap: int, time: str = "ts_us", order: str = "seq") -> DataFrame:

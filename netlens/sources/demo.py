@@ -53,7 +53,7 @@ def write_demo(spark: SparkSession, path: str) -> int:
     from .sinks import write_events
 
     events = demo_events(spark)
-    write_events(events, path, rows_a_file=1000)
+    write_events(events, path)
     text = "# watched domains\n" + "".join(f"{d}\n" for d in demo_watchlist())
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(f"{path}/watchlist.txt")

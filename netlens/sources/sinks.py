@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.chains import byte_cuts, in_order
 from ..schema import as_envelope, to_json
 
 
@@ -15,27 +19,44 @@ def _files(spark: SparkSession, path: str):
     return fs, fs_path, list(fs.listStatus(fs_path(path))) if fs.exists(fs_path(path)) else []
 
 
-def write_events(events: DataFrame, path: str, rows_a_file: int = 50_000, prefix: str = "part") -> None:
-    """Events in order of ``seq`` as ``*.ndjson`` files of at most so many rows.
+def write_events(events: DataFrame, path: str, max_bytes: int = 64 << 20, prefix: str | None = None) -> list[str]:
+    """Events in order of ``seq`` as ``*.ndjson`` files of at most so many bytes; the names of the files.
 
-    Files hold ranges of seq and their names ascend with it, so that reading by file name gives
-    the order back. Rows stand for bytes: a row is some hundred bytes. Files of an own ``prefix``
-    are replaced, so that a write can be done again; names begin with it.
+    A file takes lines in order as long as they fit; a longer line is a file of its own. Names ascend
+    with the order: the prefix (by default the time of the write, in ms) and where the file begins,
+    in bytes. Files of a given ``prefix`` are replaced. All is written to a staging folder of this
+    write, which readers don't see, and then moved: what a lost write left is never taken for its
+    successor's, and a write with a prefix can be done again.
     """
     spark = events.sparkSession
-    ordered = to_json(events.repartitionByRange("seq").sortWithinPartitions("seq")).select("value")
-    if prefix != "part":
-        fs, fs_path, old = _files(spark, path)
-        for status in old:
-            if status.getPath().getName().startswith(f"{prefix}-"):
-                fs.delete(status.getPath(), False)
-    ordered.write.mode("append").option("maxRecordsPerFile", rows_a_file).text(path)
-    # Spark names text files .txt; the readers of event folders take .ndjson only
-    fs, fs_path, written = _files(spark, path)
-    for status in written:
-        name = status.getPath().getName()
-        if name.startswith("part-") and name.endswith(".txt"):
-            fs.rename(status.getPath(), fs_path(f"{path}/{prefix}{name[4:-4]}.ndjson"))
+    prefix = prefix or f"part-{time.time_ns() // 1_000_000:013d}-{uuid.uuid4().hex[:8]}"
+    staging = f"{path}/_staging-{prefix}"
+    lines = to_json(events).select("seq", "value").withColumn("size", F.octet_length("value") + 1)
+    cut = byte_cuts(in_order(lines, "seq"), "size", max_bytes)
+    placed = cut.select("value", "seq", F.lpad(F.col("state").cast("string"), 18, "0").alias("begin"))
+    # a file is one task's; it holds the lines of one file at a time
+    placed.repartition("begin").sortWithinPartitions("begin", "seq").select("value", F.concat(F.lit("b"), "begin").alias("begin")).write.mode("overwrite").partitionBy("begin").text(staging)
+    fs, fs_path, old = _files(spark, path)
+    for status in old:
+        if status.getPath().getName().startswith(f"{prefix}-"):
+            fs.delete(status.getPath(), False)
+    names = []
+    for folder in fs.listStatus(fs_path(staging)):
+        begin = folder.getPath().getName().partition("=b")[2]
+        for status in fs.listStatus(folder.getPath()) if begin else []:
+            names.append(f"{prefix}-{begin}.ndjson")
+            fs.rename(status.getPath(), fs_path(f"{path}/{names[-1]}"))
+    fs.delete(fs_path(staging), True)
+    return sorted(names)
+
+
+def drop_files(spark: SparkSession, path: str, which) -> list[str]:
+    """Deletes the files of a folder whose names ``which`` says yes to; their names."""
+    fs, _, states = _files(spark, path)
+    gone = [s for s in states if s.isFile() and which(s.getPath().getName())]
+    for status in gone:
+        fs.delete(status.getPath(), False)
+    return [s.getPath().getName() for s in gone]
 
 
 def sweep(spark: SparkSession, path: str, prefix: str, now: float, max_age: float | None = None, max_bytes: int | None = None) -> int:

@@ -3,7 +3,9 @@
 ``LiveDetector`` keeps the sliding window and the last alert times as tables in a state
 folder; each tick reads them, runs all rules over the window and writes the next state, so a
 lost executor or a restarted driver goes on from the last whole tick. ``live_query`` drives it
-from a stream with ``foreachBatch``. ``keyed_cooldown`` is the state of one rule key as a
+from a stream with ``foreachBatch``: a batch is one step, committed by one manifest row that
+names the batch, so a batch that is given again (its commit was lost) changes nothing and
+returns the alerts that it gave. ``keyed_cooldown`` is the state of one rule key as a
 ``transformWithStateInPandas`` operator, which scales with keys.
 """
 
@@ -24,7 +26,7 @@ from ..plans.folds import cooldown
 
 WINDOW_ROWS = 10_000
 KEPT = 8  # versions of state tables, so that alerts just returned can still be read
-_MANIFEST = "version long, rows string, fired string, next_uid long"
+_MANIFEST = "version long, rows string, fired string, next_uid long, batch long, alerts string"
 
 
 def slid(rows: DataFrame, window: float, most: int = WINDOW_ROWS) -> DataFrame:
@@ -75,6 +77,8 @@ class LiveDetector:
         self.version = 0
         self._rows: str | None = None
         self._fired: str | None = None
+        self.batch: int | None = None  # the last batch that was taken, and where its alerts are
+        self._alerts: str | None = None
         self._resume()
 
     def _resume(self) -> None:
@@ -86,34 +90,51 @@ class LiveDetector:
         if told:
             self.go_to(*told)
 
-    def place(self) -> tuple[int, str | None, str | None, int]:
-        """What a restart needs: version, tables and next alert number."""
-        return self.version, self._rows, self._fired, self.engine.next
+    def place(self) -> tuple:
+        """What a restart needs: version, tables, next alert number, last batch and its alerts."""
+        return self.version, self._rows, self._fired, self.engine.next, self.batch, self._alerts
 
-    def go_to(self, version: int, rows: str | None, fired: str | None, next_uid: int) -> None:
+    def go_to(self, version: int, rows: str | None, fired: str | None, next_uid: int, batch: int | None = None, alerts: str | None = None) -> None:
         """Goes on from an earlier ``place``."""
-        self.version, self._rows, self._fired, self.engine.next = version, rows, fired, next_uid
+        self.version, self._rows, self._fired, self.engine.next, self.batch, self._alerts = version, rows, fired, next_uid, batch, alerts
 
     def _told(self) -> None:
-        """Writes the place as the last step of a push or tick: one row, so a lost tick leaves the one before."""
+        """Writes the place as the last step of a push, tick or batch: one row, so a lost one leaves the one before."""
         self.spark.createDataFrame([self.place()], _MANIFEST).coalesce(1).write.mode("append").json(f"{self.state}/manifest")
-        forget(self.spark, self.state, self.version - KEPT, self.place())
+        forget(self.spark, self.state, self.version - KEPT, (self._rows, self._fired, self._alerts))
 
     def _saved(self, df: DataFrame, name: str) -> str:
         path = f"{self.state}/{name}-{self.version:08d}"
         df.write.mode("overwrite").parquet(path)
         return path
 
-    def push(self, events: DataFrame) -> None:
-        """Adds a batch of events (alerts are not fed back)."""
+    def step(self, events: DataFrame, now: float, batch: int) -> DataFrame:
+        """A push and a tick as one commit. A batch up to the last one is not taken again: the last one's alerts come back, of older ones none."""
+        if self.batch is not None and batch <= self.batch:
+            last = self.spark.read.parquet(self._alerts)
+            return last.where(F.lit(batch == self.batch)).orderBy("no").drop("no")
+        before = self.place()
+        try:
+            self.push(events, commit=False)
+            out = self.tick(now, commit=False)
+            self.batch = batch
+            self._told()
+        except BaseException:
+            self.go_to(*before)
+            raise
+        return out
+
+    def push(self, events: DataFrame, commit: bool = True) -> None:
+        """Adds a batch of events (alerts are not fed back). Without ``commit`` a restart forgets it."""
         rows = timed(events).where(F.col("event") != "alert")
         if self._rows:
             rows = self.spark.read.parquet(self._rows).unionByName(rows)
         self.version += 1
         self._rows = self._saved(slid(rows, self.window, self.most), "window")
-        self._told()
+        if commit:
+            self._told()
 
-    def tick(self, now: float, numbers: bool = False) -> DataFrame:
+    def tick(self, now: float, numbers: bool = False, commit: bool = True) -> DataFrame:
         """The alerts of the window that are not cooling down at time ``now`` (with ``no`` if numbers are asked for)."""
         if not self._rows:
             raise ValueError("push events first")
@@ -126,7 +147,8 @@ class LiveDetector:
             hot = fired.where(F.lit(round(now * 1e6)) - F.col("last_us") < gap)
             fresh = alerts.join(hot, ["name", "src"], "left_anti")
         self.version += 1
-        out = self.spark.read.parquet(self._saved(cooldown(fresh, gap, order="no").drop("ts_us"), "alerts"))
+        self._alerts = self._saved(cooldown(fresh, gap, order="no").drop("ts_us"), "alerts")
+        out = self.spark.read.parquet(self._alerts)
         held.unpersist()
         now_fired = out.select("name", "src").distinct().withColumn("last_us", F.lit(round(now * 1e6)))
         if self._fired:
@@ -134,19 +156,19 @@ class LiveDetector:
             old = self.spark.read.parquet(self._fired).where(F.lit(round(now * 1e6)) - F.col("last_us") < 10 * gap)
             now_fired = old.join(now_fired, ["name", "src"], "left_anti").unionByName(now_fired.select(*old.columns))
         self._fired = self._saved(now_fired, "fired")
-        self._told()
+        if commit:
+            self._told()
         return out.orderBy("no") if numbers else out.orderBy("no").drop("no")
 
 
 def live_query(stream: DataFrame, detector: LiveDetector, emit, checkpoint: str, interval: str | None = None):
-    """Runs the detector on a stream: each micro-batch is pushed, then ticked at its latest event time."""
+    """Runs the detector on a stream: each micro-batch is a step at its latest event time."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         now = rows.agg(F.max("ts")).first()[0]
         if now is not None:
-            detector.push(rows)
-            emit(detector.tick(now), batch_id)
+            emit(detector.step(rows, now, batch_id), batch_id)
         rows.unpersist()
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -3,8 +3,12 @@
 A tick does, in this order: events of the frames and of flows that end, a heartbeat, retention,
 alerts, the inventory, the blind check. ``finish`` ends the open flows, looks for alerts once more,
 saves the inventory and sweeps. Open flows, devices, counts and the detector's place are tables of
-a state folder; a manifest is the last step of a tick, so a restarted driver repeats a lost tick
-and its files replace those of the lost one.
+a state folder. A manifest row is the last step of a tick; it names the tick's micro-batch and its
+event files. A restarted sensor deletes the files of a tick that has no row and repeats it with
+the same numbers; a micro-batch that has a row is not taken again, its alerts come back as they were.
+
+A stream without frames has no batches, so ``sensor_query`` takes a timer stream beside the
+frames: its rows make batches, and ticks, of a silent sensor too.
 """
 
 from __future__ import annotations
@@ -21,37 +25,42 @@ from ..operators.inventory import inventory, load_inventory, new_devices, save_i
 from ..schema import as_envelope
 from ..sources.capture import FRAMES
 from ..sources.config import Config
-from ..sources.sinks import sweep, write_events
+from ..sources.sinks import drop_files, sweep, write_events
 from .live import KEPT, LiveDetector, forget
 
-_TOLD = """version long, frames long, bytes long, emitted long, last_frame double, blind_at double, device_at double, flows string, devices string,
-live struct<version:long,rows:string,fired:string,next_uid:long>"""
-_START = {"version": 0, "frames": 0, "bytes": 0, "emitted": 0, "last_frame": None, "blind_at": None, "device_at": None, "flows": None, "devices": None, "live": None}
+_TOLD = """version long, batch long, frames long, bytes long, emitted long, last_frame double, blind_at double, device_at double, flows string, devices string, alerts string, files array<string>,
+live struct<version:long,rows:string,fired:string,next_uid:long,batch:long,alerts:string>"""
+_START = {"version": 0, "batch": None, "frames": 0, "bytes": 0, "emitted": 0, "last_frame": None, "blind_at": None, "device_at": None, "flows": None, "devices": None, "alerts": None, "files": [], "live": None}
 
 
 class Sensor:
     """Frames in, event files out; ``tick`` and ``finish`` return the alerts they gave."""
 
-    def __init__(self, spark: SparkSession, state: str, out: str, config: Config | None = None, detector: LiveDetector | None = None, rows_a_file: int = 50_000, again: float = 1800.0):
+    def __init__(self, spark: SparkSession, state: str, out: str, config: Config | None = None, detector: LiveDetector | None = None, max_bytes: int = 64 << 20, again: float = 1800.0):
         self.spark, self.state, self.out, self.config = spark, state.rstrip("/"), out, config or Config()
-        self.rows_a_file, self.again = rows_a_file, again
+        self.max_bytes, self.again = max_bytes, again
         self.live = detector or LiveDetector(spark, f"{self.state}/live", self.config.window, self.config.gap)
-        self.told = dict(_START)
         try:
             last = spark.read.schema(_TOLD).json(f"{self.state}/manifest").orderBy(F.desc("version")).first()
         except AnalysisException:  # no folder yet
             last = None
+        self.told = last.asDict() if last else dict(_START)
         if last:
-            self.told = last.asDict()
             self.live.go_to(*last.live)
+        drop_files(spark, self.out, lambda name: self._version(name) > self.told["version"])
+
+    def _version(self, name: str) -> int:
+        """The tick that wrote a file, 0 for files of others."""
+        own = name.removeprefix(f"{self.config.prefix}-") if name.startswith(f"{self.config.prefix}-") else ""
+        return int(own[:8]) if own[:8].isdigit() else 0
 
     def _saved(self, df: DataFrame, name: str, version: int) -> tuple[DataFrame, str]:
         path = f"{self.state}/{name}-{version:08d}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path), path
 
-    def _write(self, events: DataFrame, version: int, step: int) -> None:
-        write_events(events, self.out, self.rows_a_file, f"{self.config.prefix}-{version:08d}-{step}")
+    def _write(self, events: DataFrame, version: int, step: int) -> list[str]:
+        return write_events(events, self.out, self.max_bytes, f"{self.config.prefix}-{version:08d}-{step}")
 
     def _blind(self, told: dict, now: float) -> DataFrame | None:
         quiet = now - told["last_frame"]
@@ -62,17 +71,31 @@ class Sensor:
         kinds = "uid string, ts double, name string, severity string, src string, dst string, message string, evidence array<string>"
         return self.spark.createDataFrame(row, kinds)
 
-    def tick(self, frames: DataFrame, now: float) -> DataFrame:
-        """Takes the frames since the last tick (none: an empty table) and does the housekeeping of time ``now``."""
-        return self._step(frames, now, False)
+    def tick(self, frames: DataFrame, now: float, batch: int | None = None) -> DataFrame:
+        """Takes the frames since the last tick (none: an empty table) and does the housekeeping of time ``now``.
+
+        ``batch``: the number of the micro-batch; one up to the last that was taken is not taken again.
+        """
+        if batch is not None and self.told["batch"] is not None and batch <= self.told["batch"]:
+            return self.spark.read.parquet(self.told["alerts"]).where(F.lit(batch == self.told["batch"])).orderBy("no").drop("no")
+        return self._whole(frames, now, False, batch)
 
     def finish(self, now: float) -> DataFrame:
         """The end of input."""
-        return self._step(self.spark.createDataFrame([], FRAMES), now, True)
+        return self._whole(self.spark.createDataFrame([], FRAMES), now, True, None)
 
-    def _step(self, frames: DataFrame, now: float, last: bool) -> DataFrame:
+    def _whole(self, frames: DataFrame, now: float, last: bool, batch: int | None) -> DataFrame:
+        before = self.live.place()
+        try:
+            return self._step(frames, now, last, batch)
+        except BaseException:
+            self.live.go_to(*before)
+            raise
+
+    def _step(self, frames: DataFrame, now: float, last: bool, batch: int | None) -> DataFrame:
         told, now = dict(self.told), float(now)
         told["version"] = version = told["version"] + 1
+        told["batch"] = told["batch"] if batch is None else batch
         new = frames.withColumn("frame_no", F.col("frame_no") + F.lit(told["frames"]))
         count = new.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("wire_len").cast("long")), F.lit(0)).alias("size"), F.max(unix_seconds(F.col("ts"))).alias("at")).first()
         told |= {"frames": told["frames"] + count.n, "bytes": told["bytes"] + count.size}
@@ -94,32 +117,32 @@ class Sensor:
             beat = [(told["emitted"], now, told["frames"], told["bytes"], flows.count() - ended.count(), told["emitted"])]
             beat = self.spark.createDataFrame(beat, "seq long, ts double, total_frames long, bytes long, active_flows long, events_emitted long")
             events = events.unionByName(as_envelope(beat, "heartbeat"))
-        self._write(events, version, 1)
+        told["files"] = self._write(events, version, 1)
         if not last:
             self._sweep(now)
 
         known = load_inventory(self.spark, told["devices"])[0] if told["devices"] else None
         found = new_devices(events, known=known, last_alert=told["device_at"]).withColumn("no", F.struct(F.lit(0).alias("part"), F.col("seq")))
-        self.live.push(events)
-        rules = self.live.tick(now, numbers=True)
+        self.live.push(events, commit=False)
+        rules = self.live.tick(now, numbers=True, commit=False)
         rules = rules.withColumn("no", F.struct(F.lit(1).alias("part"), F.col("no").cast("long").alias("seq")))
         alerts = found.select(*ALERT, "uid", "no").unionByName(rules.select(*ALERT, "uid", "no"))
 
-        told["devices"] = f"{self.state}/devices-{version:08d}"
-        alerts, _ = self._saved(alerts, "alerts", version)
-        save_inventory(inventory(events, known), told["devices"])
-        told["device_at"] = alerts.where("no.part = 0").agg(F.max_by("ts", "no")).first()[0] or told["device_at"]
         blind = None if last else self._blind(told, now)
         if blind is not None:
             alerts = alerts.unionByName(blind.withColumn("no", F.struct(F.lit(2).alias("part"), F.lit(0).cast("long").alias("seq"))))
-        self._write(as_envelope(alerts.withColumn("seq", F.col("no")), "alert"), version, 2)
+        told["devices"] = f"{self.state}/devices-{version:08d}"
+        alerts, told["alerts"] = self._saved(alerts, "alerts", version)
+        save_inventory(inventory(events, known), told["devices"])
+        told["device_at"] = alerts.where("no.part = 0").agg(F.max_by("ts", "no")).first()[0] or told["device_at"]
+        told["files"] = told["files"] + self._write(as_envelope(alerts.withColumn("seq", F.col("no")), "alert"), version, 2)
         if last:
             self._sweep(now)
 
         told["live"] = self.live.place()
         values = tuple(told[n] for n in _START)
         self.spark.createDataFrame([values], _TOLD).coalesce(1).write.mode("append").json(f"{self.state}/manifest")
-        forget(self.spark, self.state, version - KEPT, (told["flows"], told["devices"]))
+        forget(self.spark, self.state, version - KEPT, (told["flows"], told["devices"], told["alerts"]))
         self.told = told
         return alerts.orderBy("no").drop("no")
 
@@ -127,17 +150,25 @@ class Sensor:
         sweep(self.spark, self.out, self.config.prefix, now, self.config.max_age, self.config.max_bytes)
 
 
-def sensor_query(frames: DataFrame, sensor: Sensor, emit, checkpoint: str, interval: str | None = None):
-    """Runs the sensor on a stream of frames: each micro-batch is a tick at its latest frame's time.
+def clock(spark: SparkSession, every: int = 2) -> DataFrame:
+    """A stream of the time, a row every so many seconds."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load().where(F.col("value") % every == 0).select(F.col("timestamp").alias("ts"))
+
+
+def sensor_query(frames: DataFrame, sensor: Sensor, emit, checkpoint: str, interval: str | None = None, timer: DataFrame | None = None):
+    """Runs the sensor on a stream of frames: each micro-batch is a tick at its latest time.
 
-    Call ``sensor.finish`` when a query over an ended input stops.
+    ``timer``: a stream of times (``ts``), such as ``clock``; its rows tick as frames do. Call
+    ``sensor.finish`` when a query over an ended input stops.
     """
+    if timer is not None:
+        frames = frames.unionByName(timer.select("ts"), allowMissingColumns=True)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         now = rows.agg(F.max(unix_seconds(F.col("ts")))).first()[0]
         if now is not None:
-            emit(sensor.tick(rows, now), batch_id)
+            emit(sensor.tick(rows.where("frame_no is not null"), now, batch_id), batch_id)
         rows.unpersist()
 
     writer = frames.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

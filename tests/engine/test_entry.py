@@ -1,5 +1,6 @@
 """The entry module with and without the training-data operators."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -21,7 +22,7 @@ def test_entry_without_the_other_parts(tmp_path, without):
         elif at.exists():
             at.unlink()
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert 'scan_vertical' in q and set(s) <= set(q); print(*sorted(q))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True)
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
     names = out.stdout.split()
     assert "pipeline" not in names

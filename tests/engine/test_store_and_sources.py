@@ -120,7 +120,8 @@ def test_synthetic_frames(spark):
 
 def test_sinks(spark, tmp_path):
     rows = demo_events(spark)
-    write_events(rows, f"{tmp_path}/out", rows_a_file=15)
+    names = write_events(rows, f"{tmp_path}/out", max_bytes=2000)
+    assert len(names) > 3 and sorted(p.name for p in (tmp_path / "out").glob("*.ndjson")) == names
     assert read_events(spark, f"{tmp_path}/out").count() == 40
     Q.import_events(rows, f"{tmp_path}/table")
     assert spark.read.parquet(f"{tmp_path}/table").where("event = 'conn'").count() == 26
@@ -131,6 +132,47 @@ def test_sinks(spark, tmp_path):
     assert [x["uid"] for x in lines] == ["alert1", "alert2", "alert3", "alert4"] and lines[3]["dst"] is None
 
 
+@pytest.mark.parametrize("most", [10, 700, 1500])
+def test_files_end_where_a_sequential_writer_ends_them(spark, tmp_path, most):
+    """A new file when the next line does not fit; an oversize line alone."""
+    from netlens.schema import to_json
+
+    rows = demo_events(spark).repartition(7)
+    write_events(rows, f"{tmp_path}/out", most, "events")
+    want, held = [], 0
+    for r in to_json(rows).orderBy("seq").collect():
+        line = r.value + "\n"
+        if not want or (held > 0 and held + len(line.encode()) > most):
+            want.append("")
+            held = 0
+        want[-1] += line
+        held += len(line.encode())
+    assert [p.read_text() for p in sorted((tmp_path / "out").glob("*.ndjson"))] == want
+
+
+def test_a_lost_write_leaves_nothing_to_the_next(spark, tmp_path, monkeypatch):
+    """A driver lost between the write and the moves, or in the midst of them, then the same or another write."""
+    from netlens.sources import sinks
+
+    rows, out, real = demo_events(spark), tmp_path / "out", sinks._files
+
+    def files(spark, path):
+        raise InterruptedError
+
+    monkeypatch.setattr(sinks, "_files", files)
+    for prefix in ("a", None):
+        with pytest.raises(InterruptedError):
+            write_events(rows, str(out), 2000, prefix)
+    monkeypatch.setattr(sinks, "_files", real)
+    assert not list(out.glob("*.ndjson"))
+    write_events(rows.where("seq <= 5"), str(out), 2000, "b")
+    assert read_events(spark, str(out)).count() == 5
+    write_events(rows, str(out), 2000, "a")
+    (out / sorted(p.name for p in out.glob("a-*"))[0]).unlink()  # half moved
+    write_events(rows, str(out), 2000, "a")
+    assert read_events(spark, str(out)).count() == 45
+
+
 def test_retention(spark):
     rows = [("events-1-0001.ndjson", 100, 10), ("events-2-0001.ndjson", 200, 10), ("events-3-0001.ndjson", 300, 10), ("events-4-0001.ndjson", 400, 10), ("other.txt", 0, 99)]
     files = spark.createDataFrame(rows, "name string, modified long, size long")
