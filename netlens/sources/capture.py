@@ -1,6 +1,6 @@
 """Frames from capture files and from a synthetic source, as Python data sources.
 
-Both give frame_no, ts, wire_len and data. A capture folder is read a file a task.
+Both give frame_no, ts, wire_len and data. A capture file is read in slices, a task each.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .ranges import SLICE, listed, opened, read_range
+
 FRAMES = "frame_no long, ts timestamp, wire_len int, data binary"
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
@@ -20,34 +22,131 @@ _MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x
 
 def capture_records(raw: bytes) -> Iterator[tuple[int, datetime, int, bytes]]:
     """The frames of one capture file; a cut record raises, a clean end does not."""
-    if raw[:4] not in _MAGIC or len(raw) < 24:
+    order, nanos = _kind(raw)
+    return _records(raw, 24, len(raw), 0, order, nanos)
+
+
+def _kind(head: bytes) -> tuple[str, int]:
+    if head[:4] not in _MAGIC or len(head) < 24:
         raise ValueError("not a capture file")
-    order, nanos = _MAGIC[raw[:4]]
-    at, no = 24, 0
-    while at < len(raw):
+    return _MAGIC[head[:4]]
+
+
+def _records(raw: bytes, at: int, end: int, no: int, order: str, nanos: int) -> Iterator[tuple[int, datetime, int, bytes]]:
+    """The records that begin in raw[at:end]."""
+    head = struct.Struct(f"{order}4I")
+    while at < end:
         if at + 16 > len(raw):
             raise ValueError(f"record {no} is cut")
-        seconds, part, size, wire = struct.unpack_from(f"{order}4I", raw, at)
+        seconds, part, size, wire = head.unpack_from(raw, at)
         if at + 16 + size > len(raw):
             raise ValueError(f"record {no} is cut")
         yield no, _EPOCH + timedelta(seconds=seconds, microseconds=part // nanos), wire, raw[at + 16 : at + 16 + size]
         at, no = at + 16 + size, no + 1
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """All frames of the capture files under a path, with their file.
+#: Headers in a row that must look like records for a place to be taken as a likely record start.
+_LIKELY = 8
+
+
+def _likely(raw: bytes, order: str, nanos: int) -> int | None:
+    """The first place in a slice from which records seem to follow one another. A guess: it is used only if the records before lead to it."""
+    head = struct.Struct(f"{order}4I")
+    most = 1_000_000 * nanos
+
+    def fits(at: int) -> bool:
+        for _ in range(_LIKELY):
+            if at + 16 > len(raw):
+                return True
+            _, part, size, wire = head.unpack_from(raw, at)
+            if part >= most or size > 262_144 or size > wire:
+                return False
+            at += 16 + size
+        return True
+
+    return next((at for at in range(max(len(raw) - 16, 0)) if fits(at)), None)
+
+
+def capture_slices(spark: SparkSession, files: list[tuple[str, int]], path: str, size: int) -> list[tuple[str, int, int, int, int]]:
+    """(file, first record's place, end of its slice, number of the first record, file size) for all slices that begin a record.
+
+    Records have no marks between them, so where a slice's first record begins depends on all
+    records before it. Each slice is walked from a likely start, all at once; then one number a
+    slice is followed from the front: where the guess was wrong, that slice alone is walked again.
+    """
+
+    def heads(tasks: list[tuple]) -> dict[tuple[str, int], tuple]:
+        def walk(batches):
+            import pyarrow as pa
+
+            fs, _ = opened(path)
+            for batch in batches:
+                for name, start, end, entry in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    with fs.open_input_file(name) as file:
+                        order, nanos = _kind(read_range(file, 0, 24))
+                        raw = read_range(file, start, end + 12)  # a header may be cut
+                    own = raw[: end - start]
+                    at = (24 - start if start < 24 else _likely(own, order, nanos)) if entry is None else entry - start
+                    if at is None:
+                        yield pa.RecordBatch.from_pylist([{"name": name, "start": start, "entry": None, "exit": None, "n": None}], schema)
+                        continue
+                    exit_, n = _walk_in(raw, at, end - start, order)
+                    yield pa.RecordBatch.from_pylist([{"name": name, "start": start, "entry": start + at, "exit": start + exit_, "n": n}], schema)
+
+        import pyarrow as pa
 
-    Spark lists and reads the files (any store); frame_no counts within a file.
+        schema = pa.schema([("name", pa.string()), ("start", pa.int64()), ("entry", pa.int64()), ("exit", pa.int64()), ("n", pa.int64())])
+        dealt = spark.createDataFrame(tasks, "name string, start long, end long, entry long").repartition(len(tasks))
+        return {(r.name, r.start): (r.entry, r.exit, r.n) for r in dealt.mapInArrow(walk, "name string, start long, entry long, exit long, n long").collect()}  # a row a slice
+
+    tasks = [(name, at, min(at + size, length), None) for name, length in files for at in range(0, max(length, 1), size)]
+    found = heads(tasks) if tasks else {}
+    out = []
+    for name, length in files:
+        at, no = 24, 0
+        for start in range(0, max(length, 1), size):
+            end = min(start + size, length)
+            if at >= end:
+                continue
+            entry, exit_, n = found[name, start]
+            if entry != at:
+                _, exit_, n = heads([(name, start, end, at)])[name, start]
+            out.append((name, at, end, no, length))
+            at, no = exit_, no + n
+    return out
+
+
+def _walk_in(raw: bytes, at: int, end: int, order: str) -> tuple[int, int]:
+    """(where the first record beyond ``end`` begins, how many begin before it) from a record start on."""
+    size, n = struct.Struct(f"{order}I"), 0
+    while at < end:
+        n += 1
+        at += 16 + (size.unpack_from(raw, at + 8)[0] if at + 12 <= len(raw) else 0)  # a cut header ends the file
+    return at, n
+
+
+def read_captures(spark: SparkSession, path: str, size: int = SLICE) -> DataFrame:
+    """All frames of the capture files under a path, with their file; frame_no counts within a file.
+
+    A file is cut in slices of ``size`` bytes, a task each, so its size has no limit. A cut record
+    at a file's end raises.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    slices = capture_slices(spark, listed(path), path, size)
+    dealt = spark.createDataFrame(slices, "path string, at long, end long, no long, length long").repartition(max(len(slices), 1))
 
     def frames(batches):
         import pyarrow as pa
 
+        fs, _ = opened(path)
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, at, end, no, length in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                with fs.open_input_file(name) as file:
+                    order, nanos = _kind(read_range(file, 0, 24))
+                    raw = read_range(file, at, min(end + 16, length))
+                    over = _walk_in(raw, 0, end - at, order)[0] - len(raw)
+                    raw += read_range(file, at + len(raw), min(at + len(raw) + max(over, 0), length))
                 part: list[tuple] = []
-                for record in capture_records(raw):
+                for record in _records(raw, 0, end - at, no, order, nanos):
                     part.append(record)
                     if len(part) == 4096:
                         yield _arrow(pa, name, part)
@@ -55,7 +154,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                 if part:
                     yield _arrow(pa, name, part)
 
-    return files.mapInArrow(frames, f"path string, {FRAMES}")
+    return dealt.mapInArrow(frames, f"path string, {FRAMES}")
 
 
 def _arrow(pa, name: str, rows: list[tuple]):

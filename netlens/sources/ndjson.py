@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import COLUMNS, U16, envelope
+from .follow import GrowingLines
 
 
 class InvalidEvent(ValueError):
@@ -95,9 +96,10 @@ def read_alert_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def follow_events(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of complete lines as events; bad lines keep their ``error``."""
-    lines = spark.readStream.option("pathGlobFilter", "*.ndjson").text(path)
-    return checked(lines.where(F.trim("value") != ""))
+    """A stream of the whole lines of a folder's growing files as events, with their path and place; bad lines keep their ``error``."""
+    spark.dataSource.register(GrowingLines)
+    lines = spark.readStream.format("growing_lines").option("path", path).load()
+    return checked(lines.where(F.trim("value") != "").withColumnRenamed("start", "place"))
 
 
 def read_watchlist(spark: SparkSession, path: str) -> list[str]:
