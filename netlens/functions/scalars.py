@@ -132,8 +132,18 @@ def bytes_at(data: Column, at: Column | int, n: int) -> Column:
     return F.when(F.length(got) == n, got)
 
 
+def number_of(raw: Column) -> Column:
+    """Up to seven bytes, big end first, as a long."""
+    return F.conv(F.hex(raw), 16, 10).cast("long")
+
+
+def ipv4_of(number: Column) -> Column:
+    """The text of an address that is a number."""
+    return F.concat_ws(".", *[F.shiftright(number, down).bitwiseAND(255).cast("string") for down in (24, 16, 8, 0)])
+
+
 def ipv4_text(raw: Column) -> Column:
-    return F.concat_ws(".", *[byte_at(raw, i).cast("string") for i in range(4)])
+    return ipv4_of(number_of(raw))
 
 
 def mac_text(raw: Column) -> Column:

@@ -9,66 +9,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import byte_at, bytes_at, ipv4_text, ipv6_text, let, mac_text, proto_name, u16_at
+from ..functions.scalars import byte_at, ipv4_of, ipv4_text, ipv6_text, mac_text, number_of, proto_name, u16_at
 
 IPV4, IPV6, ARP = 0x0800, 0x86DD, 0x0806
 TAGS = (0x8100, 0x88A8)
 
 
-def _link(data: Column) -> Column:
-    """outer and final ethertype (after up to two tags), vlan (the first), and where layer 3 starts."""
-    raw = F.struct(F.length(data).alias("size"), F.when(F.length(data) >= 14, u16_at(data, 12)).alias("t0"), u16_at(data, 14).alias("tag"), u16_at(data, 16).alias("t1"), u16_at(data, 20).alias("t2"))
+#: Bytes that can hold headers: two tags, the longest IPv4 header, and TCP up to its flags.
+_HEAD = 22 + 60 + 16
 
-    def told(x: Column) -> Column:
-        one = F.coalesce(x["t0"].isin(*TAGS), F.lit(False))
-        two = one & F.coalesce(x["t1"].isin(*TAGS), F.lit(False))
-        return F.struct(
-            x["size"].alias("size"), x["t0"].alias("outer"), F.when(two, x["t2"]).when(one, x["t1"]).otherwise(x["t0"]).alias("ethertype"),
-            F.when(one & (x["size"] >= 18), x["tag"].bitwiseAND(0x0FFF)).alias("vlan"), F.when(two, 22).when(one, 18).otherwise(14).alias("at"),
-        )
 
-    return let(raw, told)
+def _number(at: Column | int, n: int) -> Column:
+    """``n`` bytes of the padded head from a 0-based place, big end first, as a long."""
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.conv(F.hex(F.substring("head", at + 1, F.lit(n))), 16, 10).cast("long")
 
 
-def _network(data: Column, link: Column) -> Column:
-    """version, protocol, raw addresses and the bounds of layer 4; all null where IP is damaged."""
-    at, size = link["at"], link["size"]
-    raw = F.struct(byte_at(data, at).alias("first"), u16_at(data, at + 2).alias("total"), u16_at(data, at + 4).alias("behind"))
+def _bits(c: str, down: int, mask: int = 0xFFFF) -> Column:
+    return F.shiftright(F.col(c), down).bitwiseAND(mask).cast("int")
 
-    def told(x: Column) -> Column:
-        ihl = x["first"].bitwiseAND(0x0F) * 4
-        v4 = (link["ethertype"] == IPV4) & (size - at >= 20) & (F.shiftright(x["first"], 4) == 4) & (ihl >= 20) & (ihl <= size - at)
-        v6 = (link["ethertype"] == IPV6) & (size - at >= 40) & (F.shiftright(x["first"], 4) == 6)
-        return F.when(v4, F.struct(
-            F.lit(4).alias("version"), byte_at(data, at + 9).alias("proto_no"), bytes_at(data, at + 12, 4).alias("src_raw"), bytes_at(data, at + 16, 4).alias("dst_raw"),
-            (at + ihl).alias("at"), F.least(at + x["total"], size).alias("end"),
-        )).when(v6, F.struct(
-            F.lit(6).alias("version"), byte_at(data, at + 6).alias("proto_no"), bytes_at(data, at + 8, 16).alias("src_raw"), bytes_at(data, at + 24, 16).alias("dst_raw"),
-            (at + 40).alias("at"), F.least(at + 40 + x["behind"], size).alias("end"),
-        ))
 
-    return let(raw, told)
+def _link(frames: DataFrame) -> DataFrame:
+    """outer and final ethertype (after up to two tags), vlan (the first), and where layer 3 starts (``at3``)."""
+    tags = lambda c: F.coalesce(F.col(c).isin(*TAGS), F.lit(False))
+    rows = frames.select("*", F.length("data").alias("size"), F.rpad(F.substring("data", 1, _HEAD), _HEAD, F.lit(b"\0")).alias("head"))
+    rows = rows.withColumn("w", _number(12, 6))
+    rows = rows.withColumns({"outer": F.when(F.col("size") >= 14, _bits("w", 32)), "inner": F.when(F.col("size") >= 18, _bits("w", 0)), "tag": F.when(F.col("size") >= 18, _bits("w", 16, 0x0FFF))})
+    rows = rows.withColumn("one", tags("outer")).withColumn("two", F.col("one") & tags("inner"))
+    deep = F.when(F.col("size") >= 22, _number(20, 2).cast("int"))
+    return rows.withColumns({
+        "ethertype": F.when(F.col("two"), deep).when(F.col("one"), F.col("inner")).otherwise(F.col("outer")),
+        "vlan": F.when(F.col("one"), F.col("tag")), "at3": F.when(F.col("two"), 22).when(F.col("one"), 18).otherwise(14),
+    })
 
 
-def _transport(data: Column, net: Column) -> Column:
+def _network(rows: DataFrame) -> DataFrame:
+    """version, protocol, raw addresses and the bounds of layer 4; all null where IP is damaged."""
+    at, size = F.col("at3"), F.col("size")
+    rows = rows.withColumn("n", _number(at, 7)).withColumn("ihl", _bits("n", 48, 0x0F) * 4)
+    of = lambda version: _bits("n", 52, 0x0F) == version
+    v4 = (F.col("ethertype") == IPV4) & (size - at >= 20) & of(4) & (F.col("ihl") >= 20) & (F.col("ihl") <= size - at)
+    v6 = (F.col("ethertype") == IPV6) & (size - at >= 40) & of(6)
+    rows = rows.withColumn("version", F.when(v4, 4).when(v6, 6))
+    four, six = F.col("version") == 4, F.col("version") == 6
+    part = lambda begin, n: F.substring("data", at + (begin + 1), F.lit(n))
+    return rows.withColumns({
+        "proto_no": F.when(four, _number(at + 9, 1).cast("int")).when(six, _bits("n", 0, 0xFF)),
+        "src_raw": F.when(four, part(12, 4)).when(six, part(8, 16)), "dst_raw": F.when(four, part(16, 4)).when(six, part(24, 16)),
+        "at4": F.when(four, at + F.col("ihl")).when(six, at + 40),
+        "end": F.when(four, F.least(at + _bits("n", 24), size)).when(six, F.least(at + 40 + _bits("n", 8), size)),
+    })
+
+
+def _transport(rows: DataFrame) -> DataFrame:
     """Ports and TCP flags where the header is whole, and the payload behind it."""
-    raw = F.struct((net["end"] - net["at"]).alias("room"), (F.shiftright(byte_at(data, net["at"] + 12), 4) * 4).alias("offset"))
-
-    def told(x: Column) -> Column:
-        tcp, udp = (net["proto_no"] == 6) & (x["room"] >= 20), (net["proto_no"] == 17) & (x["room"] >= 8)
-        head = F.when(tcp & (x["offset"] >= 20), x["offset"]).when(udp, 8)
-        return F.struct(
-            F.when(tcp | udp, u16_at(data, net["at"])).alias("src_port"), F.when(tcp | udp, u16_at(data, net["at"] + 2)).alias("dst_port"), F.when(tcp, byte_at(data, net["at"] + 13)).alias("tcp_flags"),
-            F.when(head <= x["room"], F.substring(data, net["at"] + head + 1, x["room"] - head)).alias("payload"),
-        )
-
-    return let(raw, told)
-
-
-def _arp(data: Column, link: Column) -> Column:
+    at, room = F.col("at4"), F.col("room")
+    rows = rows.withColumn("room", F.col("end") - at)
+    rows = rows.withColumn("kind", F.when((F.col("proto_no") == 6) & (room >= 20), "tcp").when((F.col("proto_no") == 17) & (room >= 8), "udp"))
+    rows = rows.withColumns({"ports": F.when(F.col("kind").isNotNull(), _number(at, 4)), "marks": F.when(F.col("kind") == "tcp", _number(at + 12, 2))})
+    rows = rows.withColumn("head4", F.when(F.col("kind") == "udp", 8).when(_bits("marks", 12, 0x0F) >= 5, _bits("marks", 12, 0x0F) * 4))
+    return rows.withColumns({
+        "src_port": _bits("ports", 16), "dst_port": _bits("ports", 0), "tcp_flags": _bits("marks", 0, 0xFF),
+        "payload": F.when(F.col("head4") <= room, F.substring("data", at + F.col("head4") + 1, room - F.col("head4"))),
+    })
+
+
+def _arp(data: Column) -> Column:
     """op, addresses and whether it is gratuitous; untagged whole Ethernet/IPv4 ARP only."""
     op = u16_at(data, 20)
-    good = (link["outer"] == ARP) & (link["size"] >= 42) & (u16_at(data, 14) == 1) & (u16_at(data, 16) == 0x0800) & (byte_at(data, 18) == 6) & (byte_at(data, 19) == 4) & op.isin(1, 2)
+    good = (F.col("outer") == ARP) & (F.length(data) >= 42) & (u16_at(data, 14) == 1) & (u16_at(data, 16) == 0x0800) & (byte_at(data, 18) == 6) & (byte_at(data, 19) == 4) & op.isin(1, 2)
     return F.when(good, F.struct(
         F.when(op == 1, "request").otherwise("reply").alias("op"), mac_text(F.substring(data, 23, 6)).alias("sender_mac"), ipv4_text(F.substring(data, 29, 4)).alias("src"),
         mac_text(F.substring(data, 33, 6)).alias("target_mac"), ipv4_text(F.substring(data, 39, 4)).alias("target_ip"), (F.substring(data, 29, 4) == F.substring(data, 39, 4)).alias("is_gratuitous"),
@@ -79,20 +88,16 @@ def layers(frames: DataFrame) -> DataFrame:
     """All layers of all frames, with IP texts, protocol names and the flow key.
 
     ``a`` is the lesser endpoint by version, address bytes and port (none first), ``forward``
-    whether the frame goes from a to b. Each frame is taken apart once: the layers are one
-    generated row, through which no filter moves.
+    whether the frame goes from a to b. Each frame is taken apart once, by projections that build
+    on one another; the layers are then one generated row, through which no filter moves, so that
+    none of it is done again for a filter.
     """
-    data = F.col("data")
-
-    def all_(link: Column) -> Column:
-        return let(_network(data, link), lambda net: let(_transport(data, net), lambda tp: F.struct(
-            link["outer"].alias("outer"), link["ethertype"].alias("ethertype"), link["vlan"].alias("vlan"), net["version"].alias("version"), net["proto_no"].alias("proto_no"),
-            net["src_raw"].alias("src_raw"), net["dst_raw"].alias("dst_raw"), *[tp[c].alias(c) for c in ("src_port", "dst_port", "tcp_flags", "payload")], _arp(data, link).alias("arp"),
-        )))
-
-    rows = frames.select("*", F.inline(F.transform(F.array(_link(data)), all_)))
-    ip = lambda side: F.when(F.length(side) == 4, ipv4_text(F.col(side))).when(F.length(side) == 16, ipv6_text(F.col(side)))
-    rows = rows.select("*", ip("src_raw").alias("src"), ip("dst_raw").alias("dst"))
+    told = ["outer", "ethertype", "vlan", "version", "proto_no", "src_raw", "dst_raw", "src_port", "dst_port", "tcp_flags", "payload"]
+    rows = _transport(_network(_link(frames))).select(*frames.columns, F.struct(*told).alias("layers"))
+    rows = rows.select(*frames.columns, F.inline_outer(F.array("layers"))).withColumn("arp", _arp(F.col("data")))
+    rows = rows.withColumns({f"{side}_no": F.when(F.col("version") == 4, number_of(F.col(f"{side}_raw"))) for side in ("src", "dst")})
+    ip = lambda side: F.when(F.col("version") == 4, ipv4_of(F.col(f"{side}_no"))).when(F.col("version") == 6, ipv6_text(F.col(f"{side}_raw")))
+    rows = rows.withColumns({"src": ip("src"), "dst": ip("dst")}).drop("src_no", "dst_no")
     has = F.col("version").isNotNull()
     end = lambda side: F.struct(F.col("version").alias("v"), F.col(f"{side}_raw").alias("raw"), F.coalesce(f"{side}_port", F.lit(-1)).alias("port"), F.col(side).alias("ip"))
     low = lambda side: F.struct("version", f"{side}_raw", F.coalesce(f"{side}_port", F.lit(-1)))
