@@ -7,9 +7,11 @@ with ticks, flows end only at those times, as a running sensor would end them.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import payloads
 from ..functions.scalars import conn_state, unix_seconds
+from ..plans.chains import shared_folder
 from ..schema import as_envelope
 from .frames import layers
 
@@ -46,77 +49,143 @@ def fold_flows(rows: DataFrame) -> DataFrame:
     return _folded(rows).withColumn("end_reason", F.lit("eof"))
 
 
-def _cut(rows: DataFrame, ticks: list[int], idle: int, active: int) -> DataFrame:
-    """``rows`` with ``part``, a number that grows where a tick ended the key's flow, and the reason and end so far.
+class Ticks:
+    """Times (microseconds) at which flows are looked at. A tick has a number; ``next`` is that of the first tick after a time."""
 
-    The rows of a key are sorted by arrival and streamed; a task holds one open flow. A row's tick
-    number is how many ticks came before it or an earlier row of its key: clocks only go forward in
-    arrival order. The tick that ends a flow is found by bisection, so the number of ticks costs nothing.
+    def __init__(self, times: list[int]):
+        self.times = sorted(times)
+
+    def next_of(self, us: Column) -> Column:
+        times = np.array(self.times, np.int64)
+
+        @F.pandas_udf("long")
+        def found(x: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(times, x.to_numpy(), side="right"))
+
+        return found(us)
+
+    def from_(self, us: int) -> int:
+        """The first tick at a time or after it."""
+        return bisect_left(self.times, us)
+
+    def time(self, no: int) -> int | None:
+        """When a tick is; none beyond the last."""
+        return self.times[no] if no < len(self.times) else None
+
+
+class Every(Ticks):
+    """The multiples of a number of microseconds up to a last one, by arithmetic: no list of them is anywhere."""
+
+    def __init__(self, width: int, last: int | None = None):
+        self.width, self.last = width, last
+
+    def next_of(self, us: Column) -> Column:
+        return ((us - F.pmod(us, F.lit(self.width))) / self.width).cast("long") + 1
+
+    def from_(self, us: int) -> int:
+        return -(-us // self.width)
+
+    def time(self, no: int) -> int | None:
+        return no * self.width if no <= self.last else None
+
+
+def tick_slots(rows: DataFrame, ticks: Ticks) -> DataFrame:
+    """What each key did between two ticks, folded: no flow can end inside such a slot.
+
+    A row's slot is the next tick after it or after an earlier row of its key: clocks only go
+    forward in arrival order.
     """
-    at = sorted(ticks)
+    have = rows.where("version is not null").select(
+        "proto", F.struct("a.v", "a.ip", "a.port").alias("a"), F.struct("b.v", "b.ip", "b.port").alias("b"), "frame_no", "ts", "tcp_flags", "wire_len", "forward", "version", ticks.next_of(F.unix_micros("ts")).alias("own")
+    )
+    arrived = Window.partitionBy(*KEY).orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)
+    return _folded(have.withColumn("slot", F.max("own").over(arrived)), "slot")
+
 
-    def end(flow: dict, tick: int) -> tuple[int, str]:
-        """The first tick from ``tick`` on at which the flow ends, and why; beyond the last tick with the input."""
-        if flow["rst"] or flow["fin"]:
-            no, why = tick, "rst" if flow["rst"] else "fin"
-        else:
-            no = max(tick, bisect_left(at, min(flow["last"] + idle, flow["first"] + active)))
-            why = "idle" if no < len(at) and at[no] - flow["last"] >= idle else "active"
-        return (no, why) if no < len(at) else (len(at), "eof")
+def _parts(slots: DataFrame, ticks: Ticks, idle: int, active: int) -> DataFrame:
+    """``slots`` with ``part``, a number that grows where a tick ended the key's flow, and the reason and time of the end so far.
+
+    The slots of a key are streamed in order; a task holds one open flow. The tick that ends a flow
+    is found by bisection or arithmetic, so the number of ticks costs nothing.
+    """
+
+    def end(flow: list, slot: int) -> tuple[int, str]:
+        """The first tick from ``slot`` on at which the flow ends, and why; beyond the last tick with the input."""
+        first, last, rst, fin = flow
+        no, why = slot, "rst" if rst else "fin"
+        if not (rst or fin):
+            no = max(slot, ticks.from_(min(last + idle, first + active)))
+            at = ticks.time(no)
+            why = "idle" if at is not None and at - last >= idle else "active"
+        return (no, why) if ticks.time(no) is not None else (no, "eof")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, flow, part, tick = None, None, 0, 0
+        flow, until, part = None, 0, 0
         for batch in batches:
-            out_part, ends, when = [], [], []
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "us", "tcp_flags")]
-            for k, us, flags in zip(*columns, strict=True):
-                if k != key:
-                    key, flow, part, tick = k, None, 0, 0
-                now = max(tick, bisect_right(at, us))
-                if flow and end(flow, tick)[0] < now:
+            parts, reasons, ends = [], [], []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("fresh", "slot", "first_us", "last_us", "rst", "fin")]
+            for fresh, slot, first, last, rst, fin in zip(*columns, strict=True):
+                if fresh:
+                    flow, part = None, 0
+                elif until < slot:
                     flow, part = None, part + 1
-                flow, tick = flow or {"first": us, "last": us, "rst": False, "fin": False}, now
-                flow["last"] = max(flow["last"], us)
-                flow["rst"] |= bool((flags or 0) & RST)
-                flow["fin"] |= bool((flags or 0) & FIN)
-                out_part.append(part)
-                no, why = end(flow, tick)
-                ends.append(why)
-                when.append(at[no] if no < len(at) else None)
-            more = {"part": pa.array(out_part, pa.int64()), "reason": pa.array(ends, pa.string()), "end_us": pa.array(when, pa.int64())}
-            for name, column in more.items():
+                flow = [first, last, rst, fin] if flow is None else [flow[0], max(flow[1], last), flow[2] or rst, flow[3] or fin]
+                until, why = end(flow, slot)
+                parts.append(part)
+                reasons.append(why)
+                ends.append(None if why == "eof" else ticks.time(until))
+            for name, column in (("part", pa.array(parts, pa.int64())), ("reason", pa.array(reasons, pa.string())), ("end_us", pa.array(ends, pa.int64()))):
                 batch = batch.append_column(name, column)
             yield batch
 
-    dealt = rows.repartition("key").sortWithinPartitions("key", "frame_no")
+    # the window leaves each key's slots together and in order
+    fresh = F.lag("slot").over(Window.partitionBy(*KEY).orderBy("slot")).isNull()
+    dealt = slots.withColumns({"fresh": fresh, "first_us": F.unix_micros("first"), "last_us": F.unix_micros("last")})
     added = [T.StructField("part", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("end_us", T.LongType())]
-    return dealt.mapInArrow(cut, T.StructType([*rows.schema.fields, *added]))
+    return dealt.mapInArrow(cut, T.StructType([*dealt.schema.fields, *added]))
+
+
+def flows_of_slots(slots: DataFrame, ticks: Ticks, idle: float = 60.0, active: float = 3600.0) -> DataFrame:
+    """The flows of ``tick_slots``."""
+    cut = _parts(slots, ticks, round(idle * 1e6), round(active * 1e6))
+    ended = F.max_by(F.struct(F.col("reason").alias("end_reason"), "end_us"), "slot")
+    return cut.groupBy(*KEY, "part").agg(*_merged(), ended.alias("ended")).select(*KEY, *_FLOW, "ended.*")
 
 
-def flows_with_ticks(rows: DataFrame, ticks: list[float], idle: float = 60.0, active: float = 3600.0) -> DataFrame:
+def flows_with_ticks(rows: DataFrame, ticks: list[float] | Ticks, idle: float = 60.0, active: float = 3600.0) -> DataFrame:
     """Flows that end at the first tick after a reset, a FIN, ``idle`` seconds of silence or ``active`` seconds of life.
 
-    A frame lies after every tick whose time is at or before its own; ticks are in seconds. ``end_us``
-    is the tick that ended a flow, null for the end of input.
+    A frame lies after every tick whose time is at or before its own; ticks are in seconds, or
+    ``Every``, which without a last tick goes on to the first one after all frames. ``end_us`` is
+    the tick that ended a flow, null for the end of input. The frames are read once: what keys did
+    between ticks is a checkpoint.
     """
-    us = sorted(round(t * 1e6) for t in ticks)
-    have = rows.where("version is not null").withColumn("us", F.unix_micros("ts"))
-    have = have.withColumn("key", F.to_json(F.struct("proto_no", F.col("a.ip"), F.col("a.port"), F.col("b.ip").alias("ip2"), F.col("b.port").alias("port2"))))
-    small = have.select("key", "frame_no", "us", "tcp_flags", "wire_len", "forward", "version", "ts", *KEY)
-    small = small.withColumn("a", F.struct("a.v", "a.ip", "a.port")).withColumn("b", F.struct("b.v", "b.ip", "b.port"))
-    cut = _cut(small, us, round(idle * 1e6), round(active * 1e6))
-    reason = cut.groupBy(*KEY, "part").agg(F.max_by("reason", "frame_no").alias("end_reason"), F.max_by("end_us", "frame_no").alias("end_us"))
-    return _folded(cut, "part").join(reason, [*KEY, "part"]).drop("part")
+    if not isinstance(ticks, Ticks):
+        ticks = Ticks([round(t * 1e6) for t in ticks])
+    slots = tick_slots(rows, ticks)
+    if isinstance(ticks, Every) and ticks.last is None:
+        shared_folder(rows.sparkSession)
+        slots = slots.checkpoint()
+        most = slots.agg(F.max(F.unix_micros("last"))).first()[0] or 0
+        ticks = Every(ticks.width, most // ticks.width + 1)
+    return flows_of_slots(slots, ticks, idle, active)
+
+
+_COUNTS = ["pkts_a_to_b", "bytes_a_to_b", "pkts_b_to_a", "bytes_b_to_a"]
+_FLOW = ["first", "last", "frame_no", *_COUNTS, "syn", "fin", "rst"]
+
+
+def _merged() -> list[Column]:
+    """What several stretches of one flow are together, as aggregates."""
+    return [
+        F.min_by("first", "frame_no").alias("first"), F.max("last").alias("last"), F.min("frame_no").alias("frame_no"),
+        *[F.sum(c).alias(c) for c in _COUNTS], *[F.bool_or(c).alias(c) for c in ("syn", "fin", "rst")],
+    ]
 
 
 def merged_flows(old: DataFrame, new: DataFrame) -> DataFrame:
     """Flows that were open and those of newer frames as one flow a key; neither has an end yet."""
-    both = old.unionByName(new)
-    count = ["pkts_a_to_b", "bytes_a_to_b", "pkts_b_to_a", "bytes_b_to_a"]
-    return both.groupBy(*KEY).agg(
-        F.min_by("first", "frame_no").alias("first"), F.max("last").alias("last"), F.min("frame_no").alias("frame_no"),
-        *[F.sum(c).alias(c) for c in count], *[F.bool_or(c).alias(c) for c in ("syn", "fin", "rst")],
-    )
+    return old.unionByName(new).groupBy(*KEY).agg(*_merged())
 
 
 def end_at(now: Column, idle: float = 60.0, active: float = 3600.0) -> Column:
@@ -215,28 +284,33 @@ def heartbeats(rows: DataFrame, every: float, idle: float = 60.0, active: float
 
     It counts what came before the tick: frames, bytes, open flows once the tick has ended some,
     and events, earlier heartbeats and itself included (with ``parsed`` those of frames too).
-    What happens between two ticks is summed first, so one row a tick is ordered globally.
+    What happens between two ticks is summed first, so one row a tick is ordered globally. Frames
+    are taken apart once: what is needed of them, payloads of parsed protocols only, is a checkpoint.
     """
-    width = round(every * 1e6)
-    tick = lambda us: ((us - F.pmod(us, F.lit(width))) / width).cast("long") + 1
-    ends = rows.agg(F.min(tick(F.unix_micros("ts"))), F.max(tick(F.unix_micros("ts")))).first()
-    first, last = ends if ends[0] is not None else (1, 0)
-    flows = flows_with_ticks(rows, [k * width / 1e6 for k in range(first, last + 1)], idle, active)
-    none = {c: F.lit(0).cast("long") for c in ("frames", "wire", "flows", "events")}
-    delta = lambda df, at, **c: df.select(at.alias("tick"), *[(none | c)[n].alias(n) for n in none])
-    one = F.lit(1).cast("long")
+    ticks = Every(round(every * 1e6))
+    shared_folder(rows.sparkSession)
+    needed = ["frame_no", "ts", "wire_len", "version", "proto", "tcp_flags", "forward", "a", "b", *["route", "payload", "arp", "src", "dst", "src_port", "dst_port"] * parsed]
+    kept = routed(rows).withColumn("payload", F.when(F.col("route").isNotNull(), F.col("payload"))) if parsed else rows
+    kept = kept.select(*needed).checkpoint()
+    first, last = kept.agg(*[f(ticks.next_of(F.unix_micros("ts"))) for f in (F.min, F.max)]).first()
+    first, ticks.last = (first, last) if first is not None else (1, 0)
+    flows = flows_of_slots(tick_slots(kept, ticks), ticks, idle, active)
+    names = ("frames", "wire", "flows", "events")
+    delta = lambda at, **c: F.struct(at.cast("long").alias("tick"), *[c.get(n, F.lit(0)).cast("long").alias(n) for n in names])
+    one = F.lit(1)
+    begin = delta(ticks.next_of(F.unix_micros("first")), flows=one)
+    end = F.when(F.col("end_us").isNotNull(), delta(F.round(F.col("end_us") / ticks.width), flows=-one, events=one))
     parts = [
-        delta(rows, tick(F.unix_micros("ts")), frames=one, wire=F.col("wire_len").cast("long")),
-        delta(flows, tick(F.unix_micros("first")), flows=one),
-        delta(flows.where("end_us is not null"), F.round(F.col("end_us") / width).cast("long"), flows=-one, events=one),
-        delta(rows.sparkSession.range(first, last + 1), F.col("id"), events=one),
+        kept.select(delta(ticks.next_of(F.unix_micros("ts")), frames=one, wire=F.col("wire_len")).alias("d")),
+        flows.select(F.explode(F.filter(F.array(begin, end), lambda d: d.isNotNull())).alias("d")),
+        rows.sparkSession.range(first, last + 1).select(delta(F.col("id"), events=one).alias("d")),
     ]
     if parsed:
-        parts.append(delta(frame_events(routed(rows)), tick(F.round(F.col("ts") * 1e6).cast("long")), events=one))
+        parts.append(frame_events(kept).select(delta(ticks.next_of(F.round(F.col("ts") * 1e6).cast("long")), events=one).alias("d")))
     both = parts[0]
     for p in parts[1:]:
-        both = both.unionByName(p)
-    sums = both.groupBy("tick").agg(*[F.sum(c).alias(c) for c in none])
+        both = both.union(p)
+    sums = both.select("d.*").groupBy("tick").agg(*[F.sum(c).alias(c) for c in names])
     upto = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)  # one row a tick
-    named = dict(zip(none, ("total_frames", "bytes", "active_flows", "events_emitted"), strict=True))
-    return sums.select((F.col("tick") * F.lit(width) / 1e6).alias("ts"), *[F.sum(c).over(upto).alias(n) for c, n in named.items()])
+    named = dict(zip(names, ("total_frames", "bytes", "active_flows", "events_emitted"), strict=True))
+    return sums.select((F.col("tick") * F.lit(ticks.width) / 1e6).alias("ts"), *[F.sum(c).over(upto).alias(n) for c, n in named.items()])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import payloads
 from .operators import inventory as I
 from .operators import store as Q
-from .operators.flows import flows_with_ticks, heartbeats, routed
+from .operators.flows import Every, flows_with_ticks, heartbeats, routed
 from .operators.frames import layers
 from .plans.chains import shared_folder
 from .queries import _X, DAY, HOUR, E, _claims, _FLOW_COLUMNS, _flow_view, _stored, adapted, frames_of_lineitem, query, table
@@ -143,9 +143,7 @@ f AS (SELECT *, CASE WHEN rst OR fin THEN last // 10000 + 1 ELSE (last + 69999)
 @query(f"""WITH {_CUT} SELECT CAST(src AS VARCHAR) AS src, CAST(src_port AS INT) AS src_port, dst, CAST(dst_port AS INT) AS dst_port, CAST(first * 1000 AS BIGINT) AS first_us, CAST(last * 1000 AS BIGINT) AS last_us, CAST(pkts AS BIGINT) AS pkts,
 CASE WHEN tick > final THEN 'eof' WHEN rst THEN 'rst' WHEN fin THEN 'fin' ELSE 'idle' END AS end_reason, CASE WHEN tick <= final THEN CAST(tick * 10000000 AS BIGINT) END AS end_us FROM f""")
 def tick_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = layers(frames_of_lineitem(spark, sf_dir))
-    last = rows.agg(F.max(F.unix_micros("ts"))).first()[0]
-    flows = flows_with_ticks(rows, [10.0 * k for k in range(1, last // 10_000_000 + 2)], idle=60, active=1e9)
+    flows = flows_with_ticks(layers(frames_of_lineitem(spark, sf_dir)), Every(10_000_000), idle=60, active=1e9)
     return flows.select(
         F.col("a.ip").alias("src"), F.col("a.port").alias("src_port"), F.col("b.ip").alias("dst"), F.col("b.port").alias("dst_port"), F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"),
         (F.col("pkts_a_to_b") + F.col("pkts_b_to_a")).alias("pkts"), "end_reason", "end_us",
