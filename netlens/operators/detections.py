@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import longest_label, number_text, one_decimal
+from ..plans.slots import in_slot, merged_firsts, rows_before, slot_firsts, slotted
 from ..plans.windows import densest, first_uids
 from ..schema import micros
 
@@ -85,10 +86,17 @@ class Beaconing:
 
     def groups(self, events: DataFrame) -> DataFrame:
         """Each (src, dst, dst_port) with count, mean interval in seconds, and whether it fires."""
-        order = Window.partitionBy("src", "dst", "dst_port").orderBy("ts_us", "seq")
-        rows = with_ports(events).select("src", "dst", "dst_port", "uid", "ts_us", (F.col("ts_us") - F.lag("ts_us").over(order)).alias("gap"), F.row_number().over(order).alias("i"))
-        all_ = rows.groupBy("src", "dst", "dst_port").agg(
-            F.count("*").alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("end_us"), F.min("gap").alias("low"), F.max("gap").alias("high"), first_uids(F.col("i"), most=EVIDENCE).alias("evidence")
+        key = ["src", "dst", "dst_port"]
+        gap = F.col("ts_us") - F.lag("ts_us").over(in_slot(key))
+        slots = slotted(with_ports(events).select(*key, "uid", "ts_us", "seq")).withColumn("gap", gap).withColumn("i", F.row_number().over(in_slot(key)))
+        parts = slots.groupBy(*key, "slot").agg(
+            F.count("*").alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("end_us"), F.min("gap").alias("low"), F.max("gap").alias("high"), slot_firsts(EVIDENCE).alias("firsts")
+        )
+        # a row a slot: what lies between a slot and the one before is one more gap
+        between = F.col("first_us") - F.lag("end_us").over(Window.partitionBy(*key).orderBy("slot"))
+        parts = parts.withColumn("between", between).withColumn("before", rows_before(key))
+        all_ = parts.groupBy(*key).agg(
+            F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("end_us").alias("end_us"), F.min(F.least("low", "between")).alias("low"), F.max(F.greatest("high", "between")).alias("high"), merged_firsts(EVIDENCE).alias("evidence")
         )
         mean = (F.col("end_us") - F.col("first_us")) / (F.col("n") - 1) / 1e6
         all_ = all_.where(F.col("n") >= self.least).withColumn("mean", mean)
@@ -116,10 +124,10 @@ class DnsTunnel:
 
     def long_labels(self, events: DataFrame) -> DataFrame:
         rows = timed(events).where((F.col("event") == "dns") & F.col("query").isNotNull()).withColumn("label", longest_label(F.col("query"))).where(F.col("label") > self.longest)
-        order = Window.partitionBy("src").orderBy("ts_us", "seq")
-        found = rows.withColumn("i", F.row_number().over(order)).groupBy("src").agg(
-            F.max("label").alias("n"), F.max_by(F.struct("ts_us", "dst"), F.struct("ts_us", "seq")).alias("t"), first_uids(F.col("i"), most=EVIDENCE).alias("evidence")
-        )
+        slots = slotted(rows.select("src", "dst", "uid", "ts_us", "seq", "label")).withColumn("i", F.row_number().over(in_slot(["src"])))
+        last = F.max_by(F.struct("ts_us", "dst"), F.struct("ts_us", "seq")).alias("t")
+        parts = slots.groupBy("src", "slot").agg(F.count("*").alias("n"), F.max("label").alias("label"), last, slot_firsts(EVIDENCE).alias("firsts")).withColumn("before", rows_before(["src"]))
+        found = parts.groupBy("src").agg(F.max("label").alias("n"), F.max_by("t", "slot").alias("t"), merged_firsts(EVIDENCE).alias("evidence"))
         text = F.concat(F.lit("dns label of "), F.col("n"), F.lit(" chars from "), F.col("src"))
         return found.select(*_alert(self.name, self.severity, F.col("t.ts_us"), F.col("src"), F.col("t.dst"), text, F.col("evidence"), 0, F.col("src"), None, F.lit(0)))
 

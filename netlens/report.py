@@ -38,7 +38,10 @@ def heartbeat_line(beat: DataFrame) -> DataFrame:
     return beat.select(F.format_string("heartbeat ts=%s frames=%d bytes=%d active_flows=%d events=%d", plain_number("ts"), F.col("total_frames"), F.col("bytes"), F.col("active_flows"), F.col("events_emitted")).alias("line"))
 
 
-def table_text(lines: DataFrame, header: str, most: int = 1000) -> str:
-    """Header and the first lines as one text, for a terminal."""
-    rows = lines.orderBy(*[c for c in ("seq",) if c in lines.columns] or ["line"]).limit(most).collect()
-    return "\n".join([header, *(r.line for r in rows)])
+def table_text(lines: DataFrame, header: str, most: int | None = None) -> str:
+    """Header and all lines as one text, fetched a partition at a time; with ``most`` the first ones, and how many are left out."""
+    ordered = lines.orderBy(*[c for c in ("seq",) if c in lines.columns] or ["line"])
+    if most is None:
+        return "\n".join([header, *(r.line for r in ordered.toLocalIterator())])
+    left = max(lines.count() - most, 0)
+    return "\n".join([header, *(r.line for r in ordered.limit(most).collect()), *[f"... {left} more"] * (left > 0)])
