@@ -8,8 +8,9 @@ neighbours:
     keys i64 each, key-is-null u8 each, token counts u32 each, frame ends u32 each, frames
 
 A frame is one document's ids as little-endian unsigned 32-bit integers, compressed alone
-with the shared dictionary. The dictionary is trained on ``sample`` documents (those with the
-smallest key hashes): a bounded, documented sample; it changes sizes, never results.
+with the shared dictionary. The dictionary is trained on the first ``sample_chars`` characters of
+``sample`` documents (those with the smallest key hashes): a bounded, documented sample, so that
+the driver holds some megabytes however long the texts are; it changes sizes, never results.
 
 Defined results: null and empty texts have only the end id; documents are in ascending key
 order, null keys first, equal keys by text; an empty table gives no segments and no rows.
@@ -92,13 +93,13 @@ class Segment:
         return [int(i) + nulls for i in range(*np.searchsorted(self.keys[nulls:], [key, key + 1]))]
 
 
-def write_token_files(df: DataFrame, path: str, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text", keeps_blanks: bool = False, sample: int = 512, dictionary_bytes: int = 64 * 1024, segment_bytes: int = 4 << 20, level: int = 3) -> None:
+def write_token_files(df: DataFrame, path: str, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text", keeps_blanks: bool = False, sample: int = 512, sample_chars: int = 16 * 1024, dictionary_bytes: int = 64 * 1024, segment_bytes: int = 4 << 20, level: int = 3) -> None:
     """Encodes all texts and writes the file set under ``path`` (any folder that Spark writes)."""
     spark = df.sparkSession
     docs = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
     end = int(end_id).to_bytes(4, "little")
     chosen = [r.k for r in docs.select("k").where("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(sample).collect()]
-    texts = [r.t for r in docs.where(F.col("k").isin(chosen)).limit(2 * sample).collect()] if chosen else []
+    texts = [r.t for r in docs.where(F.col("k").isin(chosen)).select(F.substring("t", 1, sample_chars).alias("t")).limit(2 * sample).collect()] if chosen else []
     raw = trained_dictionary([x + end for x in encoder(vocabulary, keeps_blanks).encode(texts)], dictionary_bytes)
     spark.createDataFrame([(dictionary_hash(raw) - (1 << 63), bytearray(raw))], "hash long, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 

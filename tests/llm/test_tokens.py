@@ -189,3 +189,15 @@ def test_long_runs_of_blanks_in_linear_time():
     got = [list(memoryview(own.encode(t)).cast("I")) for t in values]
     assert time.process_time() - began < 3
     assert got == library.encode(values)
+
+
+def test_a_dictionary_of_the_beginnings_reads_whole_texts(spark, tmp_path):
+    """Long texts reach the driver cut; the files hold them whole."""
+    rows = [(i, f"document {i} " * 400) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path, vocabulary = f"file://{tmp_path}/t", P.path("word_bpe_49k.json")
+    write_token_files(df, path, vocabulary, end_id=2, sample_chars=300)
+    assert len(read_dictionary(spark, path)) < 40 * 300
+    got = {r.doc_id: r.ids for r in read_token_files(spark, path, with_ids=True).collect()}
+    own = tokenizers.Tokenizer.from_file(vocabulary)
+    assert got == {i: [*own.encode(t, add_special_tokens=False).ids, 2] for i, t in rows}
