@@ -24,40 +24,55 @@ def _texts() -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) for f in envelope().fields])
 
 
-def _is(kind: str, raw: Column, name: str) -> Column:
-    """Whether a raw JSON value has the type and range of its column."""
-    if kind == "string":
-        return raw.startswith('"')
-    if kind == "boolean":
-        return raw.isin("true", "false")
-    if kind == "double":
-        return raw.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
-    if kind == "array<string>":
-        return raw.startswith("[") & F.forall(F.from_json(raw, "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
-    most = 65535 if name in U16 else 255 if name == "rcode" else 2**63 - 1
-    whole = raw.rlike(r"^[0-9]+$")
-    return whole & (raw.cast("decimal(38,0)") <= F.lit(most))
+#: Values that some text columns are bound to.
+_WORDS = {("alert", "severity"): ("low", "medium", "high"), ("http", "kind"): ("request", "response")}
+
+
+def _rules() -> Column:
+    """What each kind's columns must be, as one constant: kind -> columns in order."""
+    rules = []
+    for kind, columns in COLUMNS.items():
+        own = []
+        for n, t, needed in columns:
+            most = 65535 if n in U16 else 255 if n == "rcode" else 2**63 - 1
+            words = F.array(*[F.lit(w) for w in _WORDS.get((kind, n), ())]).cast("array<string>")
+            own.append(F.struct(F.lit(n).alias("name"), F.lit("whole" if t in ("int", "long") else t).alias("type"), F.lit(needed).alias("needed"), F.lit(most).cast("decimal(38,0)").alias("most"), words.alias("words")))
+        rules += [F.lit(kind), F.array(*own)]
+    return F.create_map(*rules)
+
+
+def _fault(fields: Column, rule: Column) -> Column:
+    """What is wrong with the column of a rule in a record's fields; null if nothing is."""
+    value = F.element_at(fields, rule["name"])
+    raw, of = F.to_json(value), lambda t: rule["type"] == t
+    words = F.try_variant_get(value, "$", "string")
+    good = (
+        F.when(of("string"), raw.startswith('"') & ((F.size(rule["words"]) == 0) | F.array_contains(rule["words"], words)))
+        .when(of("boolean"), raw.isin("true", "false"))
+        .when(of("double"), raw.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))
+        .when(of("whole"), F.when(raw.rlike("^[0-9]{1,38}$"), raw.cast("decimal(38,0)") <= rule["most"]))
+        .otherwise(raw.startswith("[") & F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"))
+    )
+    absent = value.isNull() | F.is_variant_null(value)
+    return F.when(absent & rule["needed"], F.concat(F.lit("missing field "), rule["name"])).when(~absent & ~F.coalesce(good, F.lit(False)), F.concat(F.lit("bad value of "), rule["name"]))
 
 
 def checked(lines: DataFrame, value: str = "value") -> DataFrame:
-    """``lines`` with the envelope columns and ``error`` (null for a good event)."""
+    """``lines`` with the envelope columns and ``error`` (null for a good event).
+
+    A record is parsed once to its fields; the rules of its kind are data that one small expression
+    goes through, so the plan does not grow with the number of columns.
+    """
     text = F.col(value)
     own = {f.name for f in envelope().fields}
     rest = [c for c in lines.columns if c not in own]
     parsed = lines.select(*rest, F.try_parse_json(text).alias("__v"), F.from_json(text, envelope()).alias("__e"))
-    tag = F.try_variant_get("__v", "$.event", "string")
-    raw = lambda n: F.to_json(F.try_variant_get("__v", f"$.{n}", "variant"))
+    parsed = parsed.select("*", F.try_variant_get("__v", "$", "map<string,variant>").alias("__f"), F.try_variant_get("__v", "$.event", "string").alias("__tag"))
+    tag = F.col("__tag")
+    rules = F.element_at(_rules(), tag)
+    faults = F.filter(F.transform(rules, lambda r: _fault(F.col("__f"), r)), lambda x: x.isNotNull())
     error = F.when(F.col("__v").isNull() | ~F.schema_of_variant("__v").startswith("OBJECT"), "not a JSON object")
-    error = error.when(tag.isNull() | ~tag.isin(*COLUMNS), F.concat(F.lit("unknown event "), F.coalesce(tag, F.lit("(none)"))))
-    for kind, columns in COLUMNS.items():
-        for n, t, needed in columns:
-            absent = F.try_variant_get("__v", f"$.{n}", "variant").isNull() | F.is_variant_null(F.try_variant_get("__v", f"$.{n}", "variant"))
-            if needed:
-                error = error.when((tag == kind) & absent, f"missing field {n}")
-            error = error.when((tag == kind) & ~absent & ~F.coalesce(_is(t, raw(n), n), F.lit(False)), f"bad value of {n}")
-        words = {"severity": ("low", "medium", "high")} if kind == "alert" else {"kind": ("request", "response")} if kind == "http" else {}
-        for n, allowed in words.items():
-            error = error.when((tag == kind) & ~F.try_variant_get("__v", f"$.{n}", "string").isin(*allowed), f"bad value of {n}")
+    error = error.when(tag.isNull() | ~tag.isin(*COLUMNS), F.concat(F.lit("unknown event "), F.coalesce(tag, F.lit("(none)")))).otherwise(F.get(faults, F.lit(0)))
     return parsed.select(*rest, error.alias("error"), "__e.*")
 
 
