@@ -76,10 +76,12 @@ pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS val
 r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50"""
 
-# every 200-byte string of every text, as hex digits
+# every 200-byte string of every text, as hex digits; those that share a hash are compared whole
 REPEATS = """WITH d AS (SELECT row_number() OVER () AS i, doc_id, hex(coalesce(text, '')) AS h FROM documents),
-w AS (SELECT i, p, md5(substr(h, 2 * p + 1, 400)) AS g FROM (SELECT i, h, unnest(range(0, len(h) // 2 - 199)) AS p FROM d)),
-r AS (SELECT i, p FROM w SEMI JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) USING (g)),
+b AS (SELECT i, o, substr(h, 2 * o + 1, 910) AS c, least(256, len(h) // 2 - 199 - o) AS m FROM (SELECT i, h, unnest(range(0, len(h) // 2 - 199, 256)) AS o FROM d)),
+w AS (SELECT i, o + q AS p, c, q, hash(substr(c, 2 * q + 1, 400)) AS g FROM (SELECT i, o, c, unnest(range(0, m)) AS q FROM b)),
+e AS (SELECT i, p, substr(c, 2 * q + 1, 400) AS x FROM w SEMI JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) USING (g)),
+r AS (SELECT i, p FROM e SEMI JOIN (SELECT x FROM e GROUP BY x HAVING count(*) > 1) USING (x)),
 n AS (SELECT i, p, sum(CASE WHEN p <= b + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY i ORDER BY p) AS k FROM (SELECT i, p, lag(p) OVER (PARTITION BY i ORDER BY p) AS b FROM r)),
 s AS (SELECT i, min(p) AS a, max(p) + 200 AS b FROM n GROUP BY i, k),
 k AS (SELECT i, h, a, b, lag(b, 1, 0) OVER (PARTITION BY i ORDER BY a) AS before FROM s JOIN d USING (i)),
