@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from .functions import payloads
 from .operators import inventory as I
 from .operators import store as Q
-from .operators.flows import Every, flows_with_ticks, heartbeats, routed
+from .operators.flows import Every, events_of_frames, flows_with_ticks, heartbeats, routed
 from .operators.frames import layers
 from .plans.chains import shared_folder
 from .queries import _X, DAY, HOUR, E, _claims, _FLOW_COLUMNS, _flow_view, _stored, adapted, frames_of_lineitem, query, table
 from .schema import as_envelope
-from .sources.ndjson import read_events
+from .sources.ndjson import read_alert_file, read_events
 from .sources.sinks import write_events
 
 
@@ -172,3 +172,39 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = as_envelope(_stored(spark, sf_dir).where("event = 'conn'"), "conn")
     write_events(rows, path, max_bytes=1 << 20)
     return read_events(spark, path).select("seq", "uid", F.round(F.col("ts") * 1e6).cast("long").alias("us"), "src", "dst_port", "conn_state", "pkts_a_to_b")
+
+
+@query(f"WITH {E} SELECT CAST(event_id AS VARCHAR) AS uid, us, event_type AS name, CASE event_type WHEN 'error' THEN 'high' WHEN 'purchase' THEN 'medium' ELSE 'low' END AS severity, CAST(user_id AS VARCHAR) AS src FROM e")
+def alert_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of two kinds in one folder, of which the alert reader takes the alerts."""
+    path, rows = _folder(spark), _stored(spark, sf_dir)
+    write_events(as_envelope(rows.where("event = 'conn'"), "conn").unionByName(as_envelope(rows.where("event = 'alert'"), "alert")), path)
+    return read_alert_file(spark, path).select("uid", F.round(F.col("ts") * 1e6).cast("long").alias("us"), "name", "severity", "src")
+
+
+@query(f"WITH {E} SELECT kind AS event, CAST(event_id AS VARCHAR) AS uid, us FROM e, (VALUES ('conn'), ('alert')) v(kind)")
+def imported_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events imported into a table and read from it."""
+    path, rows = _folder(spark), _stored(spark, sf_dir)
+    Q.import_events(as_envelope(rows.where("event = 'conn'"), "conn").unionByName(as_envelope(rows.where("event = 'alert'"), "alert")), path)
+    return spark.read.parquet(path).select("event", "uid", F.round(F.col("ts") * 1e6).cast("long").alias("us"))
+
+
+@query(f"WITH {E} SELECT CAST(user_id AS VARCHAR) AS sender_mac, arg_min(us, event_id) AS first_us, arg_max(us, event_id) AS last_us, CAST(arg_max(k, event_id) AS VARCHAR) AS last_ip FROM e GROUP BY user_id")
+def saved_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The devices of the first half saved and loaded again, then carried on over the other."""
+    path, claims = _folder(spark), _claims(spark, sf_dir)
+    half = F.col("ts_us") < 1705363200000000
+    I.save_inventory(I.inventory(claims.where(half)), path)
+    known, _ = I.load_inventory(spark, path)
+    us = lambda c: F.round(F.col(c) * 1e6).cast("long")
+    return I.inventory(claims.where(~half), known).select("sender_mac", us("first_seen").alias("first_us"), us("last_seen").alias("last_us"), "last_ip")
+
+
+@query(f"""WITH {_X}, k AS (SELECT *, CASE WHEN fw THEN sip ELSE dip END AS src, CASE WHEN fw THEN sp ELSE dp END AS src_port, CASE WHEN fw THEN dip ELSE sip END AS dst, CASE WHEN fw THEN dp ELSE sp END AS dst_port FROM y),
+a AS (SELECT src, src_port, dst, dst_port, MIN(no) AS no, COUNT(*) AS pkts FROM k GROUP BY src, src_port, dst, dst_port)
+SELECT 'conn' AS event, no * 1000 AS us, src, CAST(src_port AS INT) AS src_port, dst, pkts FROM a""")
+def capture_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture's frames to events: these frames hold flows only (frame numbers repeat, so the events' numbers are left out)."""
+    events = events_of_frames(frames_of_lineitem(spark, sf_dir))
+    return events.select("event", F.round(F.col("ts") * 1e6).cast("long").alias("us"), "src", "src_port", "dst", (F.col("pkts_a_to_b") + F.col("pkts_b_to_a")).alias("pkts"))
