@@ -73,7 +73,9 @@ def checked(lines: DataFrame, value: str = "value") -> DataFrame:
     faults = F.filter(F.transform(rules, lambda r: _fault(F.col("__f"), r)), lambda x: x.isNotNull())
     error = F.when(F.col("__v").isNull() | ~F.schema_of_variant("__v").startswith("OBJECT"), "not a JSON object")
     error = error.when(tag.isNull() | ~tag.isin(*COLUMNS), F.concat(F.lit("unknown event "), F.coalesce(tag, F.lit("(none)")))).otherwise(F.get(faults, F.lit(0)))
-    return parsed.select(*rest, error.alias("error"), "__e.*")
+    # one generated row, through which no filter moves: a filter by error does not parse again
+    told = F.struct(error.alias("error"), *[F.col(f"__e.{f.name}").alias(f.name) for f in envelope().fields])
+    return parsed.select(*rest, F.inline_outer(F.array(told)))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
