@@ -1,16 +1,17 @@
 """Operator 5: SentencePiece encoding and decoding by a weighted transducer.
 
-Compiled from a model file: the normaliser (blank to ▁, ▁ before the text), a lexicon
-transducer over the pieces (a trie, its final states output a piece) and byte fallback (an arc
-for any character that no piece has). An input is composed with it and the best path is taken
-in the tropical semiring: arcs weigh 1, and an arc that follows another piece weighs infinity
-unless the model, which merges pairs by score (BPE), would keep just this pair apart. With that
-constraint one path per input is finite, and it is the model's own encoding; a plain sum of
-piece scores would give other ids than the model. Runs of blanks, whose pieces all have one
-score, are arcs of their own.
-
-Texts are cut where no piece reaches over: at blanks, and between two characters that no piece
-has side by side. A worker remembers the parts that it has encoded (speed only).
+Compiled from a model file into one machine: the normaliser (an arc that reads nothing and tells
+the ▁ before the text; blank and ▁ lead to the same state), the lexicon (a trie over the pieces,
+its final states tell a piece) and byte fallback (an arc for any character that no piece has). An
+input is composed with it place by place, arcs are relaxed in topological order (from left to
+right) and the shortest path of the tropical semiring is read backwards. Arcs weigh 1, and an arc
+that follows another piece weighs infinity unless the model, which merges pairs by score (BPE),
+would keep just this pair apart. With that constraint one path to each place is finite, and it is
+the model's own encoding; a plain sum of piece scores would give other ids than the model.
+
+Texts are cut where no piece reaches over: before blanks that follow something else, and between
+two characters that no piece has side by side. A worker remembers the parts that it has encoded
+(speed only).
 
 Defined results: null and empty texts have no ids; any text encodes, unknown characters as
 bytes; decoding gives the text again with ▁ as a blank.
@@ -18,10 +19,10 @@ bytes; decoding gives the text again with ▁ as a blank.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,36 +33,15 @@ from .common import fewer
 from .tokens import Remembered, slices
 
 BLANK = "▁"
-#: Words, parts of words, pairs of pieces and runs of blanks in a generation of a worker's memories (speed only).
-WORDS, PARTS, PAIRS, RUNS = 400_000, 300_000, 500_000, 256
+#: Blanks with the word after them: what is encoded apart.
+CHUNK = re.compile("[ ▁]+[^ ▁]*|[^ ▁]+")
+#: Chunks, parts of chunks and pairs of pieces in a generation of a worker's memories (speed only).
+CHUNKS, PARTS, PAIRS = 400_000, 300_000, 500_000
+#: What lies before the first arc, and a character told as bytes; pieces have ids from 0.
+NOTHING, BYTES = -1, -2
 OUTPUTS = ("n_pieces", "n_byte_pieces", "ids_crc32", "round_trip")
 
 
-def merged(symbols: list[str], score: dict[str, float]) -> list[str]:
-    """Merges neighbours into pieces, best score first, then leftmost: one queue of pairs, n log n steps."""
-    parts: list[str | None] = list(symbols)
-    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-    queue: list[tuple[float, int, str]] = []
-
-    def offer(i: int) -> None:
-        if 0 <= i and after[i] < len(parts) and (p := parts[i] + parts[after[i]]) in score:
-            heappush(queue, (-score[p], i, p))
-
-    for i in range(len(parts)):
-        offer(i)
-    while queue:
-        _, i, piece = heappop(queue)
-        if parts[i] is None or after[i] >= len(parts) or parts[i] + parts[after[i]] != piece:
-            continue  # one of the two is gone
-        gone = after[i]
-        parts[i], parts[gone], after[i] = piece, None, after[gone]
-        if after[i] < len(parts):
-            before[after[i]] = i
-        offer(i)
-        offer(before[i])
-    return [p for p in parts if p is not None]
-
-
 class PieceTransducer:
     def __init__(self, path: str):
         import sentencepiece
@@ -70,21 +50,23 @@ class PieceTransducer:
         n = model.get_piece_size()
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.text = {i: model.id_to_piece(i) for i in plain}
-        self.score = {self.text[i]: model.get_score(i) for i in plain}
+        score = {self.text[i]: model.get_score(i) for i in plain}
         self.id = {p: i for i, p in self.text.items()}
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(BLANK in p.lstrip(BLANK) or (p.startswith(BLANK * 2) and p.strip(BLANK)) for p in self.id):
             raise ValueError("a piece reaches over a blank: words cannot be encoded alone")
-        self.trie: dict = {}
+        runs = {p for p in self.id if len(p) > 1 and not p.strip(BLANK)}
+        if runs and (len({score[p] for p in runs}) > 1 or score[min(runs)] >= min([score[p] for p in self.id if len(p) > 1 and p not in runs], default=0)):
+            raise ValueError("runs of blanks are not merged last and from the left")
+        self.arcs: list[dict[str, int]] = [{}]  # of each state: what is read, the next state
+        self.output = [NOTHING]
         for p, i in self.id.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = {}
+            self.output[self._state(p)] = i
+        self.arcs[0][""] = self._state(BLANK)
         #: neighbours inside pieces; all other pairs of characters are cuts
         self.inner = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         #: the order in which merges happen; single characters come first
-        multi = sorted((p for p in self.id if len(p) > 1), key=lambda p: -self.score[p])
+        multi = sorted((p for p in self.id if len(p) > 1), key=lambda p: -score[p])
         self.rank = {p: 0 for p in self.id if len(p) == 1} | {p: r for r, p in enumerate(multi, 1)}
         self.halves: dict[str, tuple[str, str]] = {}
         self.raw = [b""] * n
@@ -94,10 +76,20 @@ class PieceTransducer:
             self.raw[i] = bytes((b,))
         self.is_byte = np.zeros(n, bool)
         self.is_byte[self.byte] = True
-        self.words = Remembered(self._word, WORDS)
+        self.chunks = Remembered(self._chunk, CHUNKS)
         self.parts = Remembered(self._part, PARTS)
         self.weights = Remembered(self._weight, PAIRS)
-        self.runs = Remembered(self._run, RUNS)
+
+    def _state(self, piece: str) -> int:
+        """The state after a piece was read, with new ones where there was none; ▁ is read as a blank too."""
+        state = 0
+        for c in piece:
+            if c not in self.arcs[state]:
+                self.arcs[state] |= dict.fromkeys((BLANK, " ") if c == BLANK else c, len(self.arcs))
+                self.arcs.append({})
+                self.output.append(NOTHING)
+            state = self.arcs[state][c]
+        return state
 
     def _halves(self, piece: str) -> tuple[str, str]:
         """The two pieces whose merge makes a piece when it is encoded alone."""
@@ -109,14 +101,21 @@ class PieceTransducer:
             self.halves[piece] = (parts[0], parts[1])
         return self.halves[piece]
 
-    def _weight(self, pair: tuple[str, str]) -> float:
+    def _weight(self, pair: tuple[int, int]) -> float:
         """1, or infinity where the model would not keep the two pieces side by side.
 
         The merges that made the two are undone from the last to the first. If what then lies
         at the seam makes a piece that comes before the merge just undone, the model would have
-        taken that piece instead.
+        taken that piece instead. Runs of blanks are merged last and from the left: the left run
+        is complete before the right one grows, blank by blank, and takes it as soon as both make
+        a piece; of a run before a word only its last blank meets the word.
         """
-        left, right, rank = *pair, self.rank
+        left, right, rank = self.text[pair[0]], self.text[pair[1]], self.rank
+        if not left.strip(BLANK):
+            if not right.strip(BLANK):
+                grown = (right[:n] for n in range(1, len(right) + 1))
+                return float("inf") if any(r in rank and left + r in rank for r in grown) else 1.0
+            left = BLANK
         bound = len(rank) + 1
         while True:
             if rank.get(left + right, bound) < bound:
@@ -128,86 +127,55 @@ class PieceTransducer:
             else:
                 bound, right = rank[right] + 1, self._halves(right)[0]
 
-    def _arcs(self, text: str, at: int) -> list[str]:
-        """What the composed transducer can read next, the longest last."""
-        if text[at] not in self.id:
-            return [text[at]]  # byte fallback
-        node, out = self.trie, []
-        for end in range(at, len(text)):
-            node = node.get(text[end])
-            if node is None:
-                break
-            if "" in node:
-                out.append(text[at : end + 1])
-        return out
-
-    def best_path(self, text: str) -> list[str]:
-        """The pieces along the shortest path of the composed transducer.
-
-        All finite paths to a place are one and the same (the model's encoding up to there), so
-        the search goes along finite arcs, longest first, and steps back from places that no
-        finite arc leaves.
+    def shortest_path(self, text: str, begins: bool = False) -> list[tuple[int, str]]:
+        """(id or BYTES, what was read) along the shortest path of the machine composed with a text.
+
+        A state of the composition is a place and the piece that ends there; the weights leave one
+        finite state a place, so its cost, its piece and where that began are three numbers.
+        ``begins``: the text's first place comes after the normaliser's own ▁.
         """
-        path, options, at, size = [], [self._arcs(text, 0)], 0, len(text)
-        dead = bytearray(size + 1)
-        weights, known = self.weights, self.id
-        while at < size:
-            arcs, last = options[-1], path[-1] if path else None
-            while arcs:
-                piece = arcs.pop()
-                if not dead[at + len(piece)] and (last is None or last not in known or piece not in known or weights[last, piece] == 1.0):
-                    path.append(piece)
-                    at += len(piece)
-                    options.append(self._arcs(text, at) if at < size else [])
+        tape = ["", *text] if begins else text
+        size, arcs, output, weights = len(tape), self.arcs, self.output, self.weights
+        endless = size + 1
+        cost, piece, start = array("q", [0]) + array("q", [endless]) * size, array("i", [NOTHING]) * (size + 1), array("q", [0]) * (size + 1)
+        for at in range(size):
+            here, last, state = cost[at], piece[at], 0
+            if here == endless:
+                continue
+            for end in range(at, size):
+                state = arcs[state].get(tape[end])
+                if state is None:
                     break
-            else:
-                dead[at] = 1
-                options.pop()
-                at -= len(path.pop())
-        return path
-
-    def _part(self, part: str) -> tuple[bool, bytes]:
-        path, ids = self.best_path(part), array("I")
-        for piece in path:
-            i = self.id.get(piece)
-            ids.extend([i] if i is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")])
-        return path[0] == BLANK, ids.tobytes()
-
-    def _word(self, word: str) -> tuple[bool, bytes]:
-        """Whether the word's blank is a piece alone, and its ids."""
-        text, inner = BLANK + word, self.inner
-        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inner]
-        if not cuts:
-            return self._part(text) if len(text) > 24 else self.parts[text]
-        parts = [self.parts[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-        return parts[0][0], b"".join([ids for _, ids in parts])
-
-    def _run(self, n: int) -> bytes:
-        """The ids of n blanks."""
-        return array("I", [self.id[p] for p in merged([BLANK] * n, self.score)]).tobytes()
-
-    def _blanks(self, n: int) -> bytes:
-        return self.runs[n] if n <= RUNS else self._run(n)
+                i = output[state]
+                if i >= 0 and here + 1 < cost[end + 1] and (last < 0 or weights[last, i] == 1.0):
+                    cost[end + 1], piece[end + 1], start[end + 1] = here + 1, i, at
+            first = arcs[0].get(tape[at])
+            if (first is None or output[first] < 0) and here + 1 < cost[at + 1]:
+                cost[at + 1], piece[at + 1], start[at + 1] = here + 1, BYTES, at
+        path, at = [], size
+        while at:
+            path.append((piece[at], "".join(tape[start[at] : at])))
+            at = start[at]
+        return path[::-1]
+
+    def _part(self, part: str, begins: bool = False) -> bytes:
+        ids = array("I")
+        for i, read in self.shortest_path(part, begins):
+            ids.extend([i] if i >= 0 else [self.byte[b] for b in read.encode("utf-8", "surrogatepass")])
+        return ids.tobytes()
+
+    def _chunk(self, chunk: str, begins: bool = False) -> bytes:
+        plain, inner = chunk.replace(" ", BLANK), self.inner
+        cuts = [i for i in range(1, len(plain)) if plain[i - 1 : i + 1] not in inner]
+        first, *more = [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
+        return b"".join([self._part(first, True) if begins else self.parts[first], *[self.parts[p] for p in more]])
 
     def encode(self, text: str | None) -> bytes:
         """The ids as unsigned 32-bit integers."""
         if not text:
             return b""
-        words = text.replace(BLANK, " ").split(" ")
-        if "" not in words:
-            return b"".join([ids for _, ids in map(self.words.__getitem__, words)])
-        out, blanks = [], 0
-        for word in words:
-            if not word:
-                blanks += 1
-                continue
-            alone, ids = self.words[word]
-            if blanks:
-                out.append(self._blanks(blanks + alone))
-                ids = ids[4 * alone :]
-            out.append(ids)
-            blanks = 0
-        return b"".join(out + [self._blanks(blanks)] * (blanks > 0))
+        first, *rest = CHUNK.findall(text)
+        return b"".join([self._chunk(first, True), *map(self.chunks.__getitem__, rest)])
 
     def decode(self, ids: bytes) -> str:
         whole = b"".join(map(self.raw.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import math
 import random
 import time
@@ -191,6 +192,20 @@ def test_long_runs_of_blanks_in_linear_time():
     assert got == library.encode(values)
 
 
+def test_normaliser_runs_and_bytes_are_arcs_of_one_machine():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = P.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), PieceTransducer(path)
+    for before, after in itertools.product(("", "the", "日"), ("", "the", "▁", "￿")):
+        values = [before + " " * n + after for n in range(70)]
+        assert [list(memoryview(own.encode(t)).cast("I")) for t in values] == library.encode(values)
+    r = random.Random(4)
+    bits = ["the", "and", " ", "  ", "▁", "\n", "ab", "1", "é", "日本", "🙂", "\u200b", "ing", "'s", "<s>", "<0x41>", "a" * 40]
+    values = ["".join(r.choices(bits, k=r.randint(0, 25))) for _ in range(3000)]
+    assert [list(memoryview(own.encode(t)).cast("I")) for t in values] == library.encode(values)
+    assert all("".join(read for _, read in own.shortest_path(t, begins=True)) == t for t in values)
+
+
 def test_a_dictionary_of_the_beginnings_reads_whole_texts(spark, tmp_path):
     """Long texts reach the driver cut; the files hold them whole."""
     rows = [(i, f"document {i} " * 400) for i in range(40)]
