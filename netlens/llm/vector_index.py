@@ -9,12 +9,14 @@ give all codes within r; those are reranked by inner product in double precision
 the sample so that ``target`` of true neighbours lie within it; a block that gives fewer than
 k rows is searched with a growing radius.
 
-The queries meet the index in blocks: each query block is joined to each index block, and a
-task holds one of either.
-
-Defined results: vectors that are null, zero, of another dimension than most, or that hold
-null or non-finite numbers take no part, nor do null ids; rows that repeat an id count once
-(least vector); equal scores go to the smaller id; fewer than k candidates are all returned.
+The queries meet the index in blocks: a task holds an index block and a query block of like
+size. Both are sent once, straight to the place where they meet, so an index of n blocks is
+shipped once for each ``query_rows`` queries.
+
+Defined results: vectors that are null, zero, or that hold null or non-finite numbers take no
+part, nor do null ids; vectors of each length are a space of their own (with an index, and jobs,
+of its own); rows that repeat an id count once (shortest, then least vector); equal scores go to
+the smaller id; fewer than k candidates are all returned.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 WORD = 64
+FOUND = "query_id long, rank int, vec_id long, score double"
+#: Tasks in which blocks meet, at most: more meetings share a task, one after another.
+TASKS = 8192
 
 
 def learned_rotations(x: np.ndarray, words: int, rounds: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -121,17 +126,25 @@ class Block:
         return self.ids[rows][best], score[best]
 
 
-def nearest_neighbours(df: DataFrame, key: str = "vec_id", vector: str = "embedding", query_every: int = 20, k: int = 20, words: int = 4, sample: int = 4096, target: float = 0.975, block_rows: int = 16384, query_rows: int = 1024) -> DataFrame:
+def nearest_neighbours(df: DataFrame, key: str = "vec_id", vector: str = "embedding", query_every: int = 20, k: int = 20, words: int = 4, sample: int = 4096, target: float = 0.975, block_rows: int = 16384, query_rows: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``query_every``."""
     v = F.col(f"`{vector}`").cast("array<double>")
     usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("v")).where("id is not null").where(F.coalesce(usable, F.lit(False)))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = "query_id long, vec_id long, score double"
-    if not sizes:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = sizes[0]["d"], sizes[0]["count"]
-    rows = rows.where(F.size("v") == dim)
+    spaces = lambda: rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()
+    sizes = spaces()
+    if len(sizes) > 1:
+        own = rows.groupBy("id").agg(F.min(F.size("v")).alias("d"))
+        rows = rows.join(own, "id").where(F.size("v") == F.col("d")).select("id", "v")
+        sizes = spaces()
+    found = df.sparkSession.createDataFrame([], FOUND)
+    for space in sizes:
+        found = found.unionByName(_searched(rows.where(F.size("v") == space["d"]), space["d"], space["count"], query_every, k, words, sample, target, block_rows, query_rows))
+    return found
+
+
+def _searched(rows: DataFrame, dim: int, n: int, query_every: int, k: int, words: int, sample: int, target: float, block_rows: int, query_rows: int) -> DataFrame:
+    """The search in the space of one length: ``rows`` are some ``n`` of (id, v)."""
     chosen = [r.id for r in rows.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
     x = np.array([r.v for r in rows.where(F.col("id").isin(chosen)).orderBy(F.xxhash64("id"), "id").limit(2 * sample).collect()])
     mean, projection = learned_rotations(x, words)
@@ -166,11 +179,14 @@ def nearest_neighbours(df: DataFrame, key: str = "vec_id", vector: str = "embedd
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
 
     asked = rows.where(F.pmod("id", F.lit(query_every)) == 0)
-    n_index = max(1, -(-n // block_rows))
+    n_index, n_asked = max(1, -(-n // block_rows)), max(1, -(-n // (query_every * query_rows)))
     index = written(blocks(rows, n_index), "index")
-    queries = written(blocks(asked, max(1, -(-n // (query_every * query_rows)))), "queries")
-    q = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_index - 1).cast("long"))).alias("no"), F.col("no").alias("q_no"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "x", "codes")])
-    met = q.join(index, "no").repartition(F.col("no"), F.col("q_no"))
-    found = met.select("ids", "x", "codes", "q_ids", "q_x", "q_codes").mapInArrow(searched, schema)
+    queries = written(blocks(asked, n_asked), "queries")
+    to = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    tasks = min(2 * n_index * n_asked, TASKS)
+    left = index.select("no", to(n_asked).alias("q_no"), "ids", "x", "codes").repartition(tasks, "no", "q_no")
+    right = queries.select(to(n_index).alias("no"), F.col("no").alias("q_no"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "x", "codes")]).repartition(tasks, "no", "q_no")
+    met = left.join(right.hint("merge"), ["no", "q_no"])
+    found = met.select("ids", "x", "codes", "q_ids", "q_x", "q_codes").mapInArrow(searched, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -89,11 +89,28 @@ def test_neighbours_reach_recall_and_ties(spark):
         assert found == sorted(found, key=lambda f: (-f[1], f[0]))
         hit += len({i for i, _ in found} & set(true))
     assert hit / (20 * len(got)) >= 0.9
+    ids = {r.vec_id for r in out} | set(got)
+    assert not ids & {2000, 2020, 2040, 2060, 2080}
     few = nearest_neighbours(df.where("vec_id < 5")).collect()
     assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2), (0, 3), (0, 4)]
     assert nearest_neighbours(df.limit(0)).count() == 0
 
 
+def test_each_length_of_vectors_is_a_space_of_its_own(spark):
+    """Repeated ids count once, ties go to the smaller id, all candidates come where there are few."""
+    rows = [(i, [1.0, float(i % 3), 2.0]) for i in range(30)] + [(100 + i, [float(i), 1.0]) for i in range(9)]
+    rows += [(0, [5.0, 5.0, 5.0]), (0, [1.0, 0.0, 2.0]), (105, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    own = {}
+    for i, v in sorted(rows, key=lambda r: (r[0], len(r[1]), r[1])):
+        own.setdefault(i, v)
+    want = []
+    for q in (i for i in own if i % 20 == 0):
+        near = [(-sum(a * b for a, b in zip(own[q], v, strict=True)), i) for i, v in own.items() if i != q and len(v) == len(own[q])]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(near)[:40], 1)]
+    assert sorted(map(tuple, nearest_neighbours(df, k=40, block_rows=7, query_rows=2).collect())) == sorted(want)
+
+
 def test_pigeonhole_gives_all_codes_within_the_radius():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 1 << 63, (4000, 4), np.uint64)
