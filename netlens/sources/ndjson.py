@@ -7,12 +7,18 @@ value of another type or out of range is an error: ``path:line: invalid event: r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import COLUMNS, U16, envelope
 from .follow import GrowingLines
+from .ranges import SLICE, line_blocks, lines_begun, listed, opened
 
 
 class InvalidEvent(ValueError):
@@ -78,27 +84,53 @@ def checked(lines: DataFrame, value: str = "value") -> DataFrame:
     return parsed.select(*rest, F.inline_outer(F.array(told)))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, value) of all non-blank lines; a folder gives its own *.ndjson files only.
+def read_lines(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    """(path, line_no, seq, value) of all non-blank lines; a folder gives its own *.ndjson files only.
 
-    Files are read whole so that lines keep their numbers: the writer rotates them at some MB.
+    Files are read in slices of ``size`` bytes (unless given, a task slot's share of all bytes, from
+    4 MB to 32 MB). A first job counts the lines that begin in each
+    slice, and sums of these give each slice the number of its first line, in its file (``line_no``)
+    and over all files by path (``seq``); so any task reads numbered lines on its own.
     """
-    whole = spark.read.text(path, wholetext=True, pathGlobFilter="*.ndjson")
-    lines = whole.select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
-    return lines.where(F.trim(F.regexp_replace("value", r"\s", " ")) != "").select("path", (F.col("at") + 1).alias("line_no"), "value")
-
-
-def ordered(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``seq``: the place by path and line, made of per-file counts and line numbers."""
-    counts = lines.groupBy("path").agg(F.max("line_no").alias("n"))  # a row a file
-    before = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("path", before.alias("__before"))
-    return lines.join(starts, "path").withColumn("seq", F.col("__before") + F.col("line_no")).drop("__before")
-
-
-def read_events(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    fs, root = opened(path)
+    if fs.get_file_info(root).type == arrow_fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    files = [(name, n) for name, n in listed(path, ".ndjson") if n]
+    size = size or min(SLICE, max(SLICE // 8, sum(n for _, n in files) // spark.sparkContext.defaultParallelism))
+    tasks = [(name, at, min(at + size, n), n) for name, n in files for at in range(0, n, size)]
+    schema = "path string, at long, end long, size long"
+    dealt = spark.createDataFrame(tasks, schema).repartition(max(len(tasks), 1))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = opened(path)
+        for batch in batches:
+            rows = [r.values() for r in batch.to_pylist()]
+            lines = [lines_begun(fs, name, at, end) for name, at, end, _ in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("at"), pa.array(lines, pa.int64())], names=["path", "at", "lines"])
+
+    begun = {(r.path, r.at): r.lines for r in dealt.mapInArrow(counted, "path string, at long, lines long").collect()} if tasks else {}  # a number a slice
+    seqs = [0, *accumulate(begun[t[:2]] for t in tasks)]
+    heads = {t[0]: seq for t, seq in zip(tasks, seqs, strict=False) if t[1] == 0}
+    placed = [(*t, seq - heads[t[0]], seq) for t, seq in zip(tasks, seqs, strict=False)]
+    numbered = spark.createDataFrame(placed, f"{schema}, line_no long, seq long").repartition(max(len(tasks), 1))
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = opened(path)
+        for batch in batches:
+            for name, at, end, whole, line_no, seq in (r.values() for r in batch.to_pylist()):
+                with fs.open_input_file(name) as file:
+                    for part in line_blocks(file, at, end, whole):
+                        n = len(part)
+                        numbers = [pa.array(range(first + 1, first + n + 1), pa.int64()) for first in (line_no, seq)]
+                        line_no, seq = line_no + n, seq + n
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), *numbers, pa.array([x.decode(errors="replace") for x in part], pa.string())], names=["path", "line_no", "seq", "value"])
+
+    return numbered.mapInArrow(lines, "path string, line_no long, seq long, value string").where(F.col("value").rlike(r"\S"))
+
+
+def read_events(spark: SparkSession, path: str, strict: bool = True, size: int | None = None) -> DataFrame:
     """Events with ``seq``. Strict: the first bad line raises; else bad rows keep their ``error``."""
-    rows = checked(ordered(read_lines(spark, path)))
+    rows = checked(read_lines(spark, path, size))
     if not strict:
         return rows
     bad = rows.where("error is not null").orderBy("seq").select("path", "line_no", "error").limit(1).collect()

@@ -68,6 +68,24 @@ def lines_in(file, start: int, end: int, limit: int, block: int = 1 << 20):
             place += len(line) + 1
 
 
+def lines_begun(fs: arrow_fs.FileSystem, path: str, start: int, end: int, block: int = 1 << 20) -> int:
+    """How many lines begin in [start, end): one at the file's begin and one after each line feed."""
+    with fs.open_input_file(path) as file:
+        feeds = sum(read_range(file, at, min(at + block, end - 1)).count(b"\n") for at in range(max(start - 1, 0), end - 1, block))
+    return feeds + (start == 0 < end)
+
+
+def line_blocks(file, start: int, end: int, size: int, block: int = 4 << 20):
+    """The lines that begin in [start, end) of a file of ``size`` bytes, some ``block`` bytes at a time; the last line may lack its line feed."""
+    at = _after_feed(file, start - 1, size, block) if start else 0
+    while at < end:
+        last = min(at + block, end)
+        upto = size if last >= size else _after_feed(file, last - 1, size, block)
+        lines = read_range(file, at, upto).split(b"\n")
+        yield lines if lines[-1] else lines[:-1]
+        at = upto
+
+
 def _after_feed(file, at: int, limit: int, block: int) -> int:
     while at < limit:
         part = read_range(file, at, min(at + block, limit))

@@ -7,7 +7,7 @@ import pytest
 
 from netlens.sources.capture import capture_records, capture_slices, read_captures
 from netlens.sources.follow import GrowingLines
-from netlens.sources.ndjson import follow_events
+from netlens.sources.ndjson import InvalidEvent, follow_events, read_events, read_lines
 from netlens.sources.ranges import last_line_end, lines_in, listed
 
 HEAD = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
@@ -100,3 +100,39 @@ def test_followed_events(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.ts, r.error is None) for r in spark.table("followed").orderBy("place").collect()] == [(1.5, True), (None, False)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 64, 1 << 20])
+def test_numbered_lines_of_slices_equal_a_loop(spark, tmp_path, size):
+    """Lines longer than slices, blank ones, a file without a last line feed, an empty one, cuts in characters of many bytes."""
+    r = random.Random(size)
+    bits = ["", " ", "\t", "{}", "é日", "x" * 40, "a\rb", "\u2028"]
+    want, seq = [], 0
+    for n in range(3 if size < 7 else 30):
+        text = "\n".join(r.choices(bits, k=r.randint(0, 12))) + "\n" * r.randint(0, 2)
+        (tmp_path / f"{n:02}.ndjson").write_bytes(text.encode())
+        lines = text.split("\n")[: None if text and not text.endswith("\n") else -1]
+        want += [(f"{n:02}.ndjson", i, seq + i, line) for i, line in enumerate(lines, 1) if line.strip(" \t\r\n")]
+        seq += len(lines)
+    (tmp_path / "notes.txt").write_text("not read")
+    got = read_lines(spark, str(tmp_path), size).collect()
+    assert sorted((x.path.rsplit("/", 1)[1], x.line_no, x.seq, x.value) for x in got) == want
+    assert read_lines(spark, str(tmp_path / "00.ndjson"), size).count() == sum(w[0] == "00.ndjson" for w in want)
+
+
+def test_a_bad_line_far_into_a_file_is_told_by_its_number(spark, tmp_path):
+    good = '{"event":"heartbeat","ts":1.5,"total_frames":1,"bytes":2,"active_flows":0,"events_emitted":1}\n'
+    (tmp_path / "a.ndjson").write_text(good * 4000 + "\n\n" + "{}\n" + good * 4000)
+    with pytest.raises(InvalidEvent, match=r"a\.ndjson:4003: invalid event"):
+        read_events(spark, f"file://{tmp_path}", size=10_000)
+    rows = read_events(spark, str(tmp_path), strict=False, size=10_000)
+    assert rows.where("error is null").count() == 8000 and rows.where("error is not null").collect()[0].seq == 4003
+    assert rows.rdd.getNumPartitions() > 50
+
+
+def test_a_folder_without_lines(spark, tmp_path):
+    assert read_lines(spark, str(tmp_path)).collect() == []
+    with pytest.raises(FileNotFoundError):
+        read_lines(spark, str(tmp_path / "gone"))
+    (tmp_path / "a.ndjson").write_text("")
+    assert read_events(spark, str(tmp_path)).collect() == []
