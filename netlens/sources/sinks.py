@@ -33,18 +33,19 @@ def write_events(events: DataFrame, path: str, max_bytes: int = 64 << 20, prefix
     staging = f"{path}/_staging-{prefix}"
     lines = to_json(events).select("seq", "value").withColumn("size", F.octet_length("value") + 1)
     cut = byte_cuts(in_order(lines, "seq"), "size", max_bytes)
-    placed = cut.select("value", "seq", F.lpad(F.col("state").cast("string"), 18, "0").alias("begin"))
-    # a file is one task's; it holds the lines of one file at a time
-    placed.repartition("begin").sortWithinPartitions("begin", "seq").select("value", F.concat(F.lit("b"), "begin").alias("begin")).write.mode("overwrite").partitionBy("begin").text(staging)
+    placed = cut.select("value", "seq", F.col("state").alias("begin"))
+    # a file is one task's; it holds the lines of one file at a time. The sorted column itself names the
+    # folders, as a number: for any expression of it, or a text, the writer sorts by folder alone and drops this sort
+    placed.repartition("begin").sortWithinPartitions("begin", "seq").select("value", "begin").write.mode("overwrite").partitionBy("begin").text(staging)
     fs, fs_path, old = _files(spark, path)
     for status in old:
         if status.getPath().getName().startswith(f"{prefix}-"):
             fs.delete(status.getPath(), False)
     names = []
     for folder in fs.listStatus(fs_path(staging)):
-        begin = folder.getPath().getName().partition("=b")[2]
+        begin = folder.getPath().getName().partition("begin=")[2]
         for status in fs.listStatus(folder.getPath()) if begin else []:
-            names.append(f"{prefix}-{begin}.ndjson")
+            names.append(f"{prefix}-{begin:0>18}.ndjson")
             fs.rename(status.getPath(), fs_path(f"{path}/{names[-1]}"))
     fs.delete(fs_path(staging), True)
     return sorted(names)

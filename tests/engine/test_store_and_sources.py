@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from netlens.operators import store as Q
 from netlens.operators.inventory import blind_alerts, inventory, new_devices
+from netlens.plans.chains import byte_cuts
 from netlens.report import ALERTS, alert_lines, flow_lines, heartbeat_line, table_text
 from netlens.schema import of_kind, to_json
 from netlens.sources.capture import read_captures, read_synthetic
@@ -150,6 +151,15 @@ def test_files_end_where_a_sequential_writer_ends_them(spark, tmp_path, most):
     assert [p.read_text() for p in sorted((tmp_path / "out").glob("*.ndjson"))] == want
 
 
+def test_lines_of_a_file_are_in_order_however_they_arrive(spark, tmp_path, monkeypatch):
+    """A file's lines come from several tasks, whose blocks arrive in any order."""
+    from netlens.sources import sinks
+
+    monkeypatch.setattr(sinks, "byte_cuts", lambda *a: byte_cuts(*a).orderBy(F.desc("seq")).checkpoint())
+    write_events(demo_events(spark), f"{tmp_path}/out", 4000)
+    assert [r.uid for r in read_events(spark, f"{tmp_path}/out").orderBy("seq").collect()] == [r.uid for r in demo_events(spark).orderBy("seq").collect()]
+
+
 def test_a_lost_write_leaves_nothing_to_the_next(spark, tmp_path, monkeypatch):
     """A driver lost between the write and the moves, or in the midst of them, then the same or another write."""
     from netlens.sources import sinks
