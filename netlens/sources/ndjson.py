@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import let
 from ..schema import COLUMNS, U16, envelope
 from .follow import GrowingLines
 from .ranges import SLICE, line_blocks, lines_begun, listed, opened
@@ -63,21 +64,66 @@ def _fault(fields: Column, rule: Column) -> Column:
     return F.when(absent & rule["needed"], F.concat(F.lit("missing field "), rule["name"])).when(~absent & ~F.coalesce(good, F.lit(False)), F.concat(F.lit("bad value of "), rule["name"]))
 
 
+#: How the schema of a variant shows the values that a column can have.
+_SHOWN = {"string": "STRING", "boolean": "BOOLEAN", "double": r"BIGINT|DOUBLE|DECIMAL\(\d+,\d+\)", "int": "BIGINT", "long": "BIGINT", "array<string>": "ARRAY<(?:STRING|VOID)>"}
+
+
+def _plain(shown: Column, parsed: Column) -> Column:
+    """True for good records without unknown fields, as nearly all are; what is not plain goes through the rules.
+
+    One pattern a kind tells the types of all fields by the record's schema (``shown``); ranges, words and nulls in
+    arrays are looked at in the parsed columns.
+    """
+    out: Column | None = None
+    for kind, columns in COLUMNS.items():
+        fields = sorted([("event", "STRING", True), *[(n, _SHOWN[t], needed) for n, t, needed in columns]])
+        pattern = "".join(f"(?:{n}: (?:{t if needed else t + '|VOID'})(?:, |>)){'' if needed else '?'}" for n, t, needed in fields)
+        good = shown.rlike(f"^OBJECT<{pattern}$")
+        for n, t, needed in columns:
+            value = parsed[n]
+            if t in ("int", "long"):
+                fine = value.between(0, 65535 if n in U16 else 255 if n == "rcode" else 2**63 - 1)
+                fine = fine if needed else F.coalesce(fine, ~shown.contains(f" {n}: BIGINT") & ~shown.contains(f"<{n}: BIGINT"))  # null or absent
+            elif t == "double":
+                fine = F.abs(value) < float("inf")
+            elif t == "array<string>":
+                fine = F.forall(value, lambda x: x.isNotNull())
+            elif (kind, n) in _WORDS:
+                fine = value.isin(*_WORDS[kind, n])
+            else:
+                continue
+            good = good & fine
+        own = parsed["event"] == kind
+        out = F.when(own, good) if out is None else out.when(own, good)
+    return F.coalesce(out, F.lit(False))
+
+
+def _parsed(lines: DataFrame, value: str) -> DataFrame:
+    """``lines`` with the record as a variant, its schema, and the envelope's struct."""
+    return lines.select("*", F.try_parse_json(value).alias("__v"), F.from_json(value, envelope()).alias("__e")).select("*", F.schema_of_variant("__v").alias("__shown"))
+
+
+def suspects(lines: DataFrame) -> DataFrame:
+    """The lines that are not plain, through a generated row, so that the filter does not parse them again."""
+    told = F.inline_outer(F.array(F.struct(_plain(F.col("__shown"), F.col("__e")).alias("__plain"))))
+    return _parsed(lines, "value").select(*lines.columns, told).where("not __plain").drop("__plain")
+
+
 def checked(lines: DataFrame, value: str = "value") -> DataFrame:
     """``lines`` with the envelope columns and ``error`` (null for a good event).
 
-    A record is parsed once to its fields; the rules of its kind are data that one small expression
-    goes through, so the plan does not grow with the number of columns.
+    Plain records are told by their schema. In all others the rules of their kind are data that one small
+    expression goes through, so the plan does not grow with the number of columns.
     """
     text = F.col(value)
     own = {f.name for f in envelope().fields}
     rest = [c for c in lines.columns if c not in own]
-    parsed = lines.select(*rest, F.try_parse_json(text).alias("__v"), F.from_json(text, envelope()).alias("__e"))
-    parsed = parsed.select("*", F.try_variant_get("__v", "$", "map<string,variant>").alias("__f"), F.try_variant_get("__v", "$.event", "string").alias("__tag"))
-    tag = F.col("__tag")
+    parsed = _parsed(lines.select(*rest, text.alias("__text")), "__text").drop("__text")
+    tag = F.try_variant_get("__v", "$.event", "string")
     rules = F.element_at(_rules(), tag)
-    faults = F.filter(F.transform(rules, lambda r: _fault(F.col("__f"), r)), lambda x: x.isNotNull())
-    error = F.when(F.col("__v").isNull() | ~F.schema_of_variant("__v").startswith("OBJECT"), "not a JSON object")
+    faults = let(F.try_variant_get("__v", "$", "map<string,variant>"), lambda fields: F.filter(F.transform(rules, lambda r: _fault(fields, r)), lambda x: x.isNotNull()))
+    error = F.when(_plain(F.col("__shown"), F.col("__e")), F.lit(None).cast("string"))
+    error = error.when(F.col("__v").isNull() | ~F.col("__shown").startswith("OBJECT"), "not a JSON object")
     error = error.when(tag.isNull() | ~tag.isin(*COLUMNS), F.concat(F.lit("unknown event "), F.coalesce(tag, F.lit("(none)")))).otherwise(F.get(faults, F.lit(0)))
     # one generated row, through which no filter moves: a filter by error does not parse again
     told = F.struct(error.alias("error"), *[F.col(f"__e.{f.name}").alias(f.name) for f in envelope().fields])
@@ -130,13 +176,13 @@ def read_lines(spark: SparkSession, path: str, size: int | None = None) -> DataF
 
 def read_events(spark: SparkSession, path: str, strict: bool = True, size: int | None = None) -> DataFrame:
     """Events with ``seq``. Strict: the first bad line raises; else bad rows keep their ``error``."""
-    rows = checked(read_lines(spark, path, size))
+    lines = read_lines(spark, path, size)
     if not strict:
-        return rows
-    bad = rows.where("error is not null").orderBy("seq").select("path", "line_no", "error").limit(1).collect()
+        return checked(lines)
+    bad = checked(suspects(lines)).where("error is not null").orderBy("seq").select("path", "line_no", "error").limit(1).collect()
     if bad:
         raise InvalidEvent(f"{bad[0].path}:{bad[0].line_no}: invalid event: {bad[0].error}")
-    return rows.drop("path", "line_no", "error")
+    return lines.select("seq", F.inline_outer(F.array(F.from_json("value", envelope()))))  # all are good: only their values are left to read
 
 
 def read_alert_file(spark: SparkSession, path: str) -> DataFrame:
