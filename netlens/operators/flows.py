@@ -214,6 +214,10 @@ def routed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("route", F.when(F.col("payload").isNotNull(), route))
 
 
+#: What ``frame_events`` needs of a frame.
+_CARRIED = ["frame_no", "ts", "route", "payload", "arp", "src", "dst", "src_port", "dst_port"]
+
+
 def frame_events(rows: DataFrame) -> DataFrame:
     """The events that routed rows carry themselves, at most one a frame; ``seq`` is their order.
 
@@ -266,11 +270,14 @@ def events_of_frames(frames: DataFrame, ticks: list[float] | None = None, idle:
     """All events of a capture in a fixed order: per frame, then flows by start and frame number.
 
     With ``heartbeat`` a last event counts frames, bytes on the wire, flows and events, itself
-    included; ``heartbeats`` gives one a tick.
+    included; ``heartbeats`` gives one a tick. All frames are taken apart twice, for the flows and
+    for the few that carry events; those frames, and the events before they are numbered, are checkpoints.
     """
+    shared_folder(frames.sparkSession)
     rows = routed(layers(frames))
     flows = fold_flows(rows) if ticks is None else flows_with_ticks(rows, ticks, idle, active)
-    out = numbered(frame_events(rows).unionByName(flow_events(flows)))
+    own = rows.where("route is not null or arp is not null").select(*_CARRIED).checkpoint()
+    out = numbered(frame_events(own).unionByName(flow_events(flows)).checkpoint())
     if not heartbeat:
         return out
     totals = frames.agg(F.coalesce(F.max(unix_seconds(F.col("ts"))), F.lit(0.0)).alias("ts"), F.count("*").alias("total_frames"), F.coalesce(F.sum(F.col("wire_len").cast("long")), F.lit(0)).alias("bytes"))

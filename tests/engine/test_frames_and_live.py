@@ -110,6 +110,13 @@ def test_frames_to_alerts(spark):
     assert names == ["port-scan", "beaconing", "dns-tunnel", "arp-spoof"]
 
 
+def test_frames_are_taken_apart_twice_at_most(spark):
+    """The plan of a capture's events reads checkpoints; frames are read for the flows and for those that carry events."""
+    frames = spark.range(50).select(F.col("id").alias("frame_no"), F.timestamp_micros("id").alias("ts"), F.lit(60).alias("wire_len"), F.lit(syn("10.0.0.1", "10.0.0.2", 1, 2)).alias("data"))
+    out = events_of_frames(frames)
+    assert "Range (" not in out._jdf.queryExecution().toString() and out.count() == 1
+
+
 def test_synthetic_frames_play_the_drill(spark):
     out = events_of_frames(read_synthetic(spark, frames=560))
     assert [r.name for r in RuleEngine([RuleEngine().rules[0]]).alerts(out).where("src = '192.0.2.66'").collect()] == ["port-scan"]
