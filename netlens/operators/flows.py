@@ -7,7 +7,6 @@ with ticks, flows end only at those times, as a running sensor would end them.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,9 +63,9 @@ class Ticks:
 
         return found(us)
 
-    def from_(self, us: int) -> int:
+    def from_(self, us: np.ndarray) -> np.ndarray:
         """The first tick at a time or after it."""
-        return bisect_left(self.times, us)
+        return np.searchsorted(np.array(self.times, np.int64), us, side="left")
 
     def time(self, no: int) -> int | None:
         """When a tick is; none beyond the last."""
@@ -82,7 +81,7 @@ class Every(Ticks):
     def next_of(self, us: Column) -> Column:
         return ((us - F.pmod(us, F.lit(self.width))) / self.width).cast("long") + 1
 
-    def from_(self, us: int) -> int:
+    def from_(self, us: np.ndarray) -> np.ndarray:
         return -(-us // self.width)
 
     def time(self, no: int) -> int | None:
@@ -102,54 +101,77 @@ def tick_slots(rows: DataFrame, ticks: Ticks) -> DataFrame:
     return _folded(have.withColumn("slot", F.max("own").over(arrived)), "slot")
 
 
-def _parts(slots: DataFrame, ticks: Ticks, idle: int, active: int) -> DataFrame:
-    """``slots`` with ``part``, a number that grows where a tick ended the key's flow, and the reason and time of the end so far.
+def flows_of_slots(slots: DataFrame, ticks: Ticks, idle: float = 60.0, active: float = 3600.0) -> DataFrame:
+    """The flows of ``tick_slots``.
 
-    The slots of a key are streamed in order; a task holds one open flow. The tick that ends a flow
-    is found by bisection or arithmetic, so the number of ticks costs nothing.
+    The slots of a key are streamed in order, so a flow is a run of rows, and a task holds one open flow
+    besides its batch. A later slot has a later ``last``, so whether a flow ends of silence or a flag lies between two
+    slots and is told for a batch at once; only flows older than ``active`` are walked. The tick that ends a flow is
+    found by bisection or arithmetic, so the number of ticks costs nothing.
     """
-
-    def end(flow: list, slot: int) -> tuple[int, str]:
-        """The first tick from ``slot`` on at which the flow ends, and why; beyond the last tick with the input."""
-        first, last, rst, fin = flow
-        no, why = slot, "rst" if rst else "fin"
-        if not (rst or fin):
-            no = max(slot, ticks.from_(min(last + idle, first + active)))
-            at = ticks.time(no)
-            why = "idle" if at is not None and at - last >= idle else "active"
-        return (no, why) if ticks.time(no) is not None else (no, "eof")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flow, until, part = None, 0, 0
+    silence, life = (min(round(x * 1e6), 1 << 60) for x in (idle, active))
+
+    def starts(fresh: np.ndarray, slot: np.ndarray, first: np.ndarray, last: np.ndarray, flag: np.ndarray) -> np.ndarray:
+        """Where flows begin."""
+        until = np.where(flag, slot, np.maximum(slot, ticks.from_(last + silence)))
+        new = fresh.copy()
+        new[1:] |= until[:-1] < slot[1:]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        old = np.zeros(len(new), bool)
+        old[1:] = ~new[1:] & (np.maximum(slot[:-1], ticks.from_(first[head[1:]] + life)) < slot[1:])
+        done = 0
+        for i in np.flatnonzero(old).tolist():
+            if i < done:
+                continue
+            of, own = head[i], head[i]
+            while i < len(new) and head[i] == of:
+                if max(slot[i - 1], ticks.from_(first[own] + life)) < slot[i]:
+                    new[i], own = True, i
+                i += 1
+            done = i
+        return new
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the open flow, as one slot
         for batch in batches:
-            parts, reasons, ends = [], [], []
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("fresh", "slot", "first_us", "last_us", "rst", "fin")]
-            for fresh, slot, first, last, rst, fin in zip(*columns, strict=True):
-                if fresh:
-                    flow, part = None, 0
-                elif until < slot:
-                    flow, part = None, part + 1
-                flow = [first, last, rst, fin] if flow is None else [flow[0], max(flow[1], last), flow[2] or rst, flow[3] or fin]
-                until, why = end(flow, slot)
-                parts.append(part)
-                reasons.append(why)
-                ends.append(None if why == "eof" else ticks.time(until))
-            for name, column in (("part", pa.array(parts, pa.int64())), ("reason", pa.array(reasons, pa.string())), ("end_us", pa.array(ends, pa.int64()))):
-                batch = batch.append_column(name, column)
-            yield batch
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows]).combine_chunks()
+            names = ("fresh", "slot", "first_us", "last_us", "rst", "fin")
+            fresh, slot, first, last, rst, fin = (rows.column(c).to_numpy() for c in names)
+            begin = np.flatnonzero(starts(fresh, slot, first, last, rst | fin))
+            end = np.append(begin[1:], rows.num_rows) - 1
+            own = rows.take(pa.array(begin))
+            for c in ("slot", "last", "last_us"):
+                own = own.set_column(own.schema.get_field_index(c), own.schema.field(c), rows.column(c).take(pa.array(end)))
+            for c in _COUNTS:
+                own = own.set_column(own.schema.get_field_index(c), own.schema.field(c), pa.array(np.add.reduceat(rows.column(c).to_numpy(), begin)))
+            for c in ("syn", "fin", "rst"):
+                own = own.set_column(own.schema.get_field_index(c), own.schema.field(c), pa.array(np.logical_or.reduceat(rows.column(c).to_numpy(), begin)))
+            held = own.slice(len(begin) - 1)
+            held = held.set_column(held.schema.get_field_index("fresh"), held.schema.field("fresh"), pa.array([True]))
+            yield from ended(own.slice(0, len(begin) - 1))
+        if held is not None:
+            yield from ended(held)
+
+    def ended(flows: pa.Table) -> list[pa.RecordBatch]:
+        """Flows with the reason and time of their end."""
+        slot, first, last, rst, fin = (flows.column(c).to_numpy() for c in ("slot", "first_us", "last_us", "rst", "fin"))
+        no = np.where(rst | fin, slot, np.maximum(slot, ticks.from_(np.minimum(last + silence, first + life))))
+        at = [ticks.time(x) for x in no.tolist()]
+        why = [
+            "eof" if a is None else "rst" if r else "fin" if f else "idle" if a - x >= silence else "active" for a, x, r, f in zip(at, last.tolist(), rst.tolist(), fin.tolist(), strict=True)
+        ]
+        own = flows.select([*KEY, *_FLOW]).append_column("end_reason", pa.array(why, pa.string())).append_column("end_us", pa.array(at, pa.int64()))
+        return own.to_batches()
 
     # the window leaves each key's slots together and in order
     fresh = F.lag("slot").over(Window.partitionBy(*KEY).orderBy("slot")).isNull()
     dealt = slots.withColumns({"fresh": fresh, "first_us": F.unix_micros("first"), "last_us": F.unix_micros("last")})
-    added = [T.StructField("part", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("end_us", T.LongType())]
-    return dealt.mapInArrow(cut, T.StructType([*dealt.schema.fields, *added]))
-
-
-def flows_of_slots(slots: DataFrame, ticks: Ticks, idle: float = 60.0, active: float = 3600.0) -> DataFrame:
-    """The flows of ``tick_slots``."""
-    cut = _parts(slots, ticks, round(idle * 1e6), round(active * 1e6))
-    ended = F.max_by(F.struct(F.col("reason").alias("end_reason"), "end_us"), "slot")
-    return cut.groupBy(*KEY, "part").agg(*_merged(), ended.alias("ended")).select(*KEY, *_FLOW, "ended.*")
+    added = [T.StructField("end_reason", T.StringType()), T.StructField("end_us", T.LongType())]
+    return dealt.mapInArrow(folded, T.StructType([*[dealt.schema[c] for c in (*KEY, *_FLOW)], *added]))
 
 
 def flows_with_ticks(rows: DataFrame, ticks: list[float] | Ticks, idle: float = 60.0, active: float = 3600.0) -> DataFrame:

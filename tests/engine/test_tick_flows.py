@@ -61,3 +61,19 @@ def test_heartbeats_count_frames_and_flows(spark):
     rows = layers(capture(spark, [(t, syn("10.0.0.1", "10.0.0.2", p, 81, f)) for t, p, f in ((1, 1, 2), (3, 2, 2), (4, 1, 4), (12, 2, 0x10), (31, 3, 2))]))
     got = heartbeats(rows, every=10, idle=15).orderBy("ts").collect()
     assert [(r.ts, r.total_frames, r.active_flows, r.events_emitted) for r in got] == [(10, 3, 1, 2), (20, 4, 1, 3), (30, 4, 0, 5), (40, 5, 1, 6)]
+
+
+def test_flows_over_batches_need_no_further_shuffle(spark):
+    """Long flows over Arrow batches of two slots, each cut by age again and again; flows come out of the pass over slots."""
+    frames = [(t, 1 + t % 2, 0x10) for t in range(1, 120)] + [(130, 1, 4), (131, 1, 0x10)]
+    rows = layers(capture(spark, [(t, syn("10.0.0.1", "10.0.0.2", p, 80, f)) for t, p, f in frames]))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        flows = flows_with_ticks(rows, Every(3_000_000), idle=10, active=13)
+        got = [(f.a.port, f.first.timestamp(), f.last.timestamp(), f.pkts_a_to_b + f.pkts_b_to_a, f.end_reason, None if f.end_us is None else f.end_us / 1e6) for f in flows.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = [(k, float(a), float(b), n, w, None if e is None else float(e)) for k, a, b, n, w, e in looped(frames, list(range(3, 133, 3)), 10, 13)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert "Aggregate" not in flows._jdf.queryExecution().optimizedPlan().toString()
