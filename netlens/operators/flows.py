@@ -335,7 +335,8 @@ def heartbeats(rows: DataFrame, every: float, idle: float = 60.0, active: float
         rows.sparkSession.range(first, last + 1).select(delta(F.col("id"), events=one).alias("d")),
     ]
     if parsed:
-        parts.append(frame_events(kept).select(delta(ticks.next_of(F.round(F.col("ts") * 1e6).cast("long")), events=one).alias("d")))
+        own = kept.where("route is not null or arp is not null").select(*_CARRIED).checkpoint()  # read once, not once a kind
+        parts.append(frame_events(own).select(delta(ticks.next_of(F.round(F.col("ts") * 1e6).cast("long")), events=one).alias("d")))
     both = parts[0]
     for p in parts[1:]:
         both = both.union(p)

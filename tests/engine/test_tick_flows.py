@@ -77,3 +77,9 @@ def test_flows_over_batches_need_no_further_shuffle(spark):
     want = [(k, float(a), float(b), n, w, None if e is None else float(e)) for k, a, b, n, w, e in looped(frames, list(range(3, 133, 3)), 10, 13)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert "Aggregate" not in flows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_heartbeats_read_all_frames_for_their_counts_and_flows_only(spark):
+    beats = heartbeats(layers(capture(spark, [(1, syn("10.0.0.1", "10.0.0.2", 1, 81, 2))])), every=10)
+    plan = beats._jdf.queryExecution().analyzed().toString()
+    assert sum("LogicalRDD" in line and "wire_len" in line for line in plan.split("\n")) == 2
