@@ -46,7 +46,7 @@ def token_pieces(df: DataFrame, vocabulary: str, end_id: int, most: int, key: st
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(vocabulary, keeps_blanks)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 4096, 4 << 20):  # the more at once, the fewer words are looked up
                 rows = []
                 for k, ids in zip(part.column(0).to_pylist(), code.encode(part.column(1).to_pylist()), strict=True):
                     ids += end

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from netlens.llm.packing import best_fit, best_fit_packing, cuts, local_search, token_pieces, pack
 from netlens.llm.piece_transducer import PieceTransducer, decode_pieces, encode_pieces
 from netlens.llm.token_files import Segment, packed_segment, read_dictionary, read_token_files, write_token_files
-from netlens.llm.tokens import WordEncoder
+from netlens.llm.tokens import Remembered, WordEncoder
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -59,6 +59,34 @@ def test_memories_are_bounded():
     assert len(own.later) <= 100 and len(own.later.before) <= 100 and len(own.pre_tokens) <= 100 and max(map(len, own.later)) <= 64
 
 
+class Asked(Remembered):
+    times = 0
+
+    def __getitem__(self, key):
+        self.times += 1
+        return super().__getitem__(key)
+
+
+def test_a_word_is_looked_up_once_for_all_texts_and_lines_are_cut():
+    own = WordEncoder(P.path("byte_bpe_50k.json"), True)
+    own.later = Asked(own.later.make, own.later.most)
+    words = [a + b for a in "abcdefgh" for b in ("one", "two", "trois", "été")]
+    values = [f"The {x}.\nThen {y}, {x}" for x in words for y in words]
+    assert own.encode(values) == [np.array(x[:-1], "<u4").tobytes() for x in ids_of("byte_bpe_50k.json", values, 0)]
+    assert own.later.times < 10 * len(words) and len(own.later) < 5 * len(words)
+
+
+def test_blanks_and_line_ends_in_columns_equal_the_library():
+    bits = ["a", "The", "é", "日本", "x,", "12", "'s", "$$", "\n", "\n", "\n\n", " ", " ", " \n", "\n ", "\r\n", "\t", "\u3000", "\x1c", "\u200b", "<|endoftext|>"]
+    r = random.Random(9)
+    values = ["", None, "\n", " ", "\na", "a\n", "\nb c", "a \nb", "a\n\nb \nc", "x" * 100 + "\ny z"] + ["".join(r.choices(bits, k=r.randint(1, 9))) for _ in range(6000)]
+    for most in (len(values), 7, 1):
+        own = WordEncoder(P.path("byte_bpe_50k.json"), True)
+        got = [x for i in range(0, len(values), most) for x in own.encode(values[i : i + most])]
+        assert got == [np.array(x[:-1], "<u4").tobytes() for x in ids_of("byte_bpe_50k.json", [v or "" for v in values], 0)]
+    assert own.encode([]) == []
+
+
 def test_token_files_round_trip(spark, tmp_path):
     values = texts(400) + ["long text " * 3000, "", "same", "same"]
     rows = [(i * 7 % 4001 - 50, t, i) for i, t in enumerate(values)]
