@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm.common import table, written
+from netlens.llm.common import drop, table, written
 from netlens.llm.entry_queries import vocabulary
 from netlens.llm.ngram_join import ngram_jaccard_join
 from netlens.llm.packing import best_fit_packing
@@ -59,7 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    given = docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        old, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if old is not given:
+            drop(old)
     return STAGES[-1][1](spark, docs, sf_dir)
